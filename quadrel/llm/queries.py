@@ -4,16 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quadrel.llm import recipes, rules
+from quadrel.llm import bpe, packing, recipes, rules, tokens
 from quadrel.llm.base import table
 
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipes.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.with_checksum(tokens.token_output(table(spark, sf_dir, "documents"), BYTE_BPE))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode_decode(table(spark, sf_dir, "documents"), WORD_BPE)
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = rules.judge(docs, rules.fit_rules(docs, table(spark, sf_dir, "labels")))
@@ -21,7 +41,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_exact_dedup, op5_token_output, op6_bpe, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
