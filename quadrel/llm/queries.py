@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrel.llm import bpe, packing, recipes, rules, tokens
+from quadrel.llm import bpe, packing, pii, recipes, rules, tokens
 from quadrel.llm.base import table
 
 
@@ -34,6 +34,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.listed("base_list"), 256).alias("base_sha256"), pii.listed("span_list").alias("spans"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = rules.judge(docs, rules.fit_rules(docs, table(spark, sf_dir, "labels")))
@@ -41,7 +46,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_exact_dedup, op5_token_output, op6_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_exact_dedup, op5_token_output, op6_bpe, op9_pii, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
