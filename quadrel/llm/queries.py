@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrel.llm import bpe, packing, pii, recipes, rules, tokens
+from quadrel.llm import bpe, licenses, packing, pii, recipes, rules, tokens, urls
 from quadrel.llm.base import table
 
 
@@ -24,6 +24,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipes.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("places")
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_checksum(tokens.token_output(table(spark, sf_dir, "documents"), BYTE_BPE))
 
@@ -34,6 +38,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.listed("base_list"), 256).alias("base_sha256"), pii.listed("span_list").alias("spans"))
@@ -46,7 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_exact_dedup, op5_token_output, op6_bpe, op9_pii, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_exact_dedup, op4_license_scan, op5_token_output, op6_bpe, op8_url_filter, op9_pii, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
