@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrel.llm import bpe, licenses, packing, pii, recipes, rules, tokens, urls
+from quadrel.llm import bpe, licenses, nearjoin, packing, pii, recipes, rules, tokens, urls
 from quadrel.llm.base import table
 
 
@@ -38,6 +38,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -54,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_exact_dedup, op4_license_scan, op5_token_output, op6_bpe, op8_url_filter, op9_pii, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_exact_dedup, op4_license_scan, op5_token_output, op6_bpe, op7_ngram_jaccard_join, op8_url_filter, op9_pii, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
