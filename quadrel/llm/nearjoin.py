@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrel.llm.base import written
@@ -213,5 +213,8 @@ def near_classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose doc_id names their class, all columns; of repeated rows one stays."""
-    first = near_classes(docs, id_col=id_col, text_col=text_col).select("class_id").distinct()
-    return docs.join(first, F.col(id_col).eqNullSafe(F.col("class_id")), "left_semi").dropDuplicates([id_col])
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("__id")
+    first = near_classes(docs, id_col=id_col, text_col=text_col).select(name("class_id")).distinct()
+    one = Window.partitionBy("__id").orderBy("__id")  # dealt out as for the join
+    found = docs.select("*", name(id_col)).join(first, "__id", "left_semi").withColumn("__n", F.row_number().over(one))
+    return found.filter("__n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))

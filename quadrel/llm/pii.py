@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quadrel.llm.base import whole_text, written
+from quadrel.llm.base import whole_text
 from quadrel.llm.boost import Boosted, precise_threshold
 
 # The base patterns, by kind in the order of the output. Look-behinds (with \G, the end of
@@ -197,15 +197,16 @@ def listed(column: str) -> Column:
     return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["name"], s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, with every span of the text replaced by its kind in brackets. Null text stays null."""
-    kept = written(docs.withColumn("_row", F.monotonically_increasing_id()), "redact")
-    found = digest(kept.select("_row", F.col(text_col).alias("_t")), "_t").select(F.col("_row").alias("_at"), "span_list").filter(F.size("span_list") > 0)
+    marked = docs.withColumn("__mark", F.xxhash64(text_col))
+    found = digest(marked.select(F.col(id_col).alias("__id"), "__mark", F.col(text_col).alias("__text")), "__text")
+    found = found.filter(F.size("span_list") > 0).select("__id", F.col("__mark").alias("__own"), "span_list").dropDuplicates(["__id", "__own"])
     cuts = F.array_sort(F.transform("span_list", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["name"].alias("name"))))
-    joined = kept.join(found, F.col("_row") == F.col("_at"), "left").withColumn("_cuts", cuts)
-    text, last = F.col(text_col), F.element_at("_cuts", -1)["end"]
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_cuts", lambda s: s["end"]))
-    zipped = F.filter(F.arrays_zip(F.col("_cuts").alias("s"), ends.alias("from")), lambda z: z["s"].isNotNull())
+    joined = marked.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__own")), "left").withColumn("__cuts", cuts)
+    text, last = F.col(text_col), F.element_at("__cuts", -1)["end"]
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("__cuts", lambda s: s["end"]))
+    zipped = F.filter(F.arrays_zip(F.col("__cuts").alias("s"), ends.alias("from")), lambda z: z["s"].isNotNull())
     head = F.transform(zipped, lambda z: F.concat(F.substring(text, (z["from"] + 1).cast("int"), F.greatest(z["s"]["start"] - z["from"], F.lit(0)).cast("int")), F.lit("["), F.upper(z["s"]["name"]), F.lit("]")))
     whole = F.concat(F.array_join(head, ""), F.substring(text, (last + 1).cast("int"), F.lit(1 << 30)))
-    return joined.withColumn(text_col, F.when(F.col("_cuts").isNull(), text).otherwise(whole)).select(*docs.columns)
+    return joined.withColumn(text_col, F.when(F.col("__cuts").isNull(), text).otherwise(whole)).select(*(F.col(f"`{c}`") for c in docs.columns))

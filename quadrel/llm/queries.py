@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrel.llm import bpe, licenses, nearjoin, packing, pii, recipes, rules, tokens, urls
+from quadrel.llm import bpe, licenses, nearjoin, packing, pii, recipes, repeats, rules, tokens, urls
 from quadrel.llm.base import table
 
 
@@ -20,6 +20,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipes.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_exact_dedup, op4_license_scan, op5_token_output, op6_bpe, op7_ngram_jaccard_join, op8_url_filter, op9_pii, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_exact_dedup, op4_license_scan, op5_token_output, op6_bpe, op7_ngram_jaccard_join, op8_url_filter, op9_pii, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -61,11 +61,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_groups keeps, all columns; of repeated rows of a doc_id with one text, one."""
-    groups = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    marked = docs.withColumn("_own", F.sha2(ascii_lower(whole_text(text_col)), 256))
-    kept = marked.join(groups, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha"))).drop("_id", "_sha")
-    one = Window.partitionBy(id_col, "_own").orderBy(id_col)
-    return kept.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n", "_own")
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("__id")
+    kept = exact_groups(docs, id_col, text_col).filter("kept").select(name("doc_id"), F.col("text_sha256").alias("__sha")).distinct()
+    marked = docs.select("*", name(id_col), F.sha2(ascii_lower(whole_text(text_col)), 256).alias("__sha"))
+    one = Window.partitionBy("__id", "__sha").orderBy("__id")  # dealt out as for the join
+    found = marked.join(kept, ["__id", "__sha"], "left_semi").withColumn("__n", F.row_number().over(one))
+    return found.filter("__n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 SQL = """

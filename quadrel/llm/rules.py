@@ -142,21 +142,29 @@ def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Rules
     return Rules(found[[f"s{i}" for i in range(7)]].to_numpy(float).reshape(len(found), 7), found["quality"].to_numpy())
 
 
-def judge(docs: DataFrame, rules: Rules, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs' `carry` columns with STATS, base_failed, anomaly and kept.
+def judge(docs: DataFrame, rules: Rules, carry: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """docs' `carry` columns with STATS, base_failed, anomaly and kept, their names after `prefix`.
 
     Null and empty texts have no words and so fail the base rules. Repeated rows are judged alike, each
     on its own; an empty table gives no rows. One very long text is one row of constant output.
     """
-    schema = docs.select(*carry)
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.schema.fields)
-    out += "".join(f", {s} long" for s in STATS) + ", base_failed boolean, anomaly double, kept boolean"
+    names = [*carry, *(prefix + s for s in (*STATS, "base_failed", "anomaly", "kept"))]
+    own = [F.col(f"`{c}`") for c in carry]
+    kinds = [f.dataType.simpleString() for f in docs.select(*own).schema.fields] + ["long"] * len(STATS) + ["boolean", "double", "boolean"]
+    out = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))
+    at = carry.index("text") if "text" in carry else len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = _stats_of(b.column(b.num_columns - 1))
+            s = _stats_of(b.column(at))
             failed, odd = base_failed(s), rules.anomaly(s)
             more = [s[:, i].astype(np.int64) for i in range(5)] + [failed, odd, ~failed & (odd <= rules.threshold)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *map(pa.array, more)], [*carry, *STATS, "base_failed", "anomaly", "kept"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], *map(pa.array, more)], names)
 
-    return docs.select(*carry, F.col("text").cast("string").alias("_judged")).mapInArrow(run, out)
+    return docs.select(*own, *([F.col("text").cast("string").alias("_judged")] if at == len(carry) else [])).mapInArrow(run, out)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep, all columns."""
+    judged = judge(docs, fit_rules(docs, labels), tuple(docs.columns), "__")
+    return judged.filter("__kept").select(*(F.col(f"`{c}`") for c in docs.columns))
