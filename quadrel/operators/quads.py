@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame
@@ -96,7 +97,7 @@ def type_scan(quads: DataFrame, t: Table, graphs: list[str] | str | None = None)
             short = F.regexp_extract("s", _id_pattern(t), 1)
             out.append(F.when(short != "", short).otherwise(F.col("s")).cast(c.spark_type).alias(n))
         elif c.is_array and not c.is_inverse:
-            out.append(F.array_sort(F.transform(f"_v_{n}", lambda v, c=c: typed(c, v))).alias(n))
+            out.append(F.array_sort(F.transform(f"_v_{n}", partial(typed, c))).alias(n))
         else:
             out.append((F.col(f"_v_{n}") if c.is_inverse else typed(c, F.col(f"_v_{n}"))).alias(n))
     return rows.select(*out, F.col("s").alias("_iri"))
