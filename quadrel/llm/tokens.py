@@ -6,7 +6,9 @@ black ones, so a text is encoded word by word and the words' ids are kept in a b
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -18,25 +20,38 @@ from pyspark.sql import functions as F
 from quadrel.llm.base import scratch
 
 END = 0
-#: Words whose ids a Python worker remembers; the cache is emptied when it is full.
-REMEMBER = 400_000
+#: Words whose ids a Python worker remembers in each of two generations; a full one takes the older's place.
+REMEMBER = 250_000
 _DOUBLE_WHITE = re.compile(r"\s\s|^\s|\s\Z")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Letters that every Unicode version knows, then at most one mark: one or two pre-tokens.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
 
 class _Words(dict):
     """Word -> its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, encode, lead: str) -> None:
-        self.encode, self.lead = encode, lead
+        self.encode, self.lead, self.older = encode, lead, {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBER:
+            self.older = dict(self)
             self.clear()
-        self[word] = found = self.encode(self.lead + word)
+        found = self.older.get(word)
+        if found is None:
+            found = self.encode(self.lead + word)
+        self[word] = found
         return found
 
 
+def byte_alphabet() -> dict[int, str]:
+    """Byte -> its printable character: itself where it is printable Latin-1, else the next one from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class Encoder:
     """Encodes like Tokenizer.encode(text, add_special_tokens=False) of a byte-level BPE file."""
 
@@ -47,20 +62,36 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.bare, self.spaced = _Words(self._whole, ""), _Words(self._whole, " ")
+        front = json.loads(self.tokenizer.to_str())
+        splits = front["pre_tokenizer"] or {}
+        self.by_words = not front["normalizer"] and splits.get("type") == "ByteLevel" and splits["use_regex"] and not splits["add_prefix_space"]
+        self.model, self.shown = self.tokenizer.model, byte_alphabet()
+        self.marks = {m: self._whole(m) for m in ".,"}
+        self.bare, self.spaced = _Words(self._word, ""), _Words(self._word, " ")
         self.newline = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """A word with at most one space before it. Plain ones go straight to the merges."""
+        plain = _PLAIN.fullmatch(word, word.startswith(" "))
+        if not plain:
+            return self._whole(word)
+        if plain[2]:  # the word alone is likely known
+            return (self.spaced if word[0] == " " else self.bare)[plain[1]] + self.marks[plain[2]]
+        ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if any(s in text for s in self.special):
+        if not self.by_words or any(s in text for s in self.special):
             return self._whole(text)
         bare, spaced = self.bare.__getitem__, self.spaced.__getitem__
-        if _DOUBLE_WHITE.search(text):
+        plain = text.replace("\n", "").isprintable() and not any(x in text for x in ("  ", "\n\n", " \n", "\n ")) and not (text[0].isspace() or text[-1].isspace())
+        if not plain and _DOUBLE_WHITE.search(text):
             first, *rest = _LONE_SPACE.split(text)
             return bare(first) + b"".join(map(spaced, rest))
         lines = []
