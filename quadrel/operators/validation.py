@@ -85,7 +85,9 @@ def table_of(shape: Shape, name: str, base: str = "", pk: str = "id") -> Table:
     for c in shape.constraints:
         kind = "uri" if c.node_kind == "IRI" else KIND_OF.get(c.datatype or "", "string")
         own = Column(kind, predicate_iri=c.predicate or c.path, required=bool(c.min_count), is_array=c.max_count is None or c.max_count > 1)
-        columns[c.path.rsplit("#", 1)[-1].rsplit("/", 1)[-1]] = own if c.path != pk else columns[pk]
+        name_of = c.path.rsplit("#", 1)[-1].rsplit("/", 1)[-1]
+        if name_of != pk:
+            columns[name_of] = own
     return table(name, columns, shape.target_class, base=base)
 
 
