@@ -48,13 +48,13 @@ def propagate(seeds: DataFrame, links: DataFrame, steps: int = STEPS, follow: fl
     """
     flows = links.select(F.lit("trust").alias("kind"), "source", "target", "n").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("target").alias("source"), F.col("source").alias("target"), "n"))
     out = flows.groupBy("kind", "source").agg(F.sum("n").alias("total"))
-    flows = written(flows.join(out, ["kind", "source"]).select("kind", "source", "target", (F.col("n") / F.col("total")).alias("share")), "flows")
+    flows = written(flows.join(out, ["kind", "source"]).select("kind", F.col("source").alias("host"), "target", (F.col("n") / F.col("total")).alias("share")), "flows")
     seed = seeds.select(F.explode(F.array(F.when(F.col("trusted"), "trust"), F.when(F.col("blocked"), "distrust"))).alias("kind"), F.col("host")).filter("kind is not null")
     start = seed.withColumn("rank", F.lit(1.0 - follow))
     rank = seed.withColumn("rank", F.lit(1.0))
     if flows.take(1):
         for step in range(1, steps + 1):
-            moved = rank.join(flows, (rank.kind == flows.kind) & (rank.host == flows.source)).select(flows.kind, F.col("target").alias("host"), (follow * F.col("rank") * F.col("share")).alias("rank"))
+            moved = rank.join(flows, ["kind", "host"]).select("kind", F.col("target").alias("host"), (follow * F.col("rank") * F.col("share")).alias("rank"))
             rank = start.unionByName(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
             if step % CUT_EACH == 0:
                 rank = written(rank, "rank")
