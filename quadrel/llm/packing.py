@@ -44,8 +44,17 @@ def _two(left: np.ndarray, room: int, above: int) -> tuple[int, int] | None:
 def best_two_fit(counts: np.ndarray, size: int = SIZE) -> list[tuple[int, dict[int, int]]]:
     """(bins, {length: how many in each of them}) until nothing is left. counts[n]: documents of length n.
 
-    A bin takes the largest that fits until none does; then its smallest is exchanged for two others that
-    fill the gap so gained better, as long as there are such. A bin is used as often as its lengths last.
+    An exchange can use up lengths that later bins need, so it is also tried only where it closes the gap
+    wholly, and not at all; the plan with the fewest bins is taken.
+    """
+    plans = [_fill(counts, size, most) for most in (size, 0, -1)]
+    return min(plans, key=lambda plan: sum(times for times, _ in plan))
+
+
+def _fill(counts: np.ndarray, size: int, most_gap: int) -> list[tuple[int, dict[int, int]]]:
+    """A bin takes the largest that fits until none does; then its smallest is exchanged for two others that
+    fill the gap so gained better and leave most_gap at most, as long as there are such. A bin is used as
+    often as its lengths last.
     """
     left, plan = counts.astype(np.int64).copy(), []
     while left.any():
@@ -58,8 +67,8 @@ def best_two_fit(counts: np.ndarray, size: int = SIZE) -> list[tuple[int, dict[i
             room -= n * k
         while room and sum(own.values()) > 1:
             least = min(own)
-            two = _two(rest, room + least, least)
-            if not two:
+            two = _two(rest, room + least, least) if most_gap >= 0 else None
+            if not two or room + least - sum(two) > most_gap:
                 break
             own[least] -= 1
             if not own[least]:
