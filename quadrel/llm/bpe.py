@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrel.llm.tokens import id_lists
+from quadrel.llm.tokens import byte_alphabet, id_lists
 
-#: Words that a Python worker remembers; emptied when full.
-REMEMBER = 400_000
+#: Words that a Python worker remembers in each of two generations; a full one takes the older's place.
+REMEMBER = 250_000
+#: Letters that every Unicode version knows.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: What str.split() takes for white space and Unicode does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -34,50 +37,67 @@ class Bpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.ranks = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        pairs = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs]
+        self.ranks = {a << 32 | b: rank for rank, (a, b, _) in enumerate(pairs)}
+        self.joined = [c for _, _, c in pairs]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in (self.vocab | self.special).items()}
         self.cut_special = re.compile("|".join(f"({re.escape(s)})" for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self.seen: dict[str, tuple[bytes, str]] = {}
+        self.shown = byte_alphabet()
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def merge(self, word: str) -> list[int]:
         """Ids of one pre-token, given in the byte alphabet."""
         text = list(word)
         text[-1] += self.suffix
         ids = [self.vocab[s] for s in text if s in self.vocab]
-        n = len(ids)
-        left, right, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-        queue: list[tuple[int, int, int, int, int]] = []
-
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j >= 0 and (found := self.ranks.get((ids[i], ids[j]))):
-                heapq.heappush(queue, (found[0], i, ids[i], ids[j], found[1]))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
+        n, rank_of, joined = len(ids), self.ranks.get, self.joined
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        # an entry holds rank and place; it is stale when the pair now there has another rank
+        queue = [rank * n + i for i in range(n - 1) if (rank := rank_of(ids[i] << 32 | ids[i + 1])) is not None]
+        heapq.heapify(queue)
         while queue:
-            _, i, a, b, joined = heapq.heappop(queue)
-            j = right[i] if alive[i] else -1
-            if j < 0 or ids[i] != a or ids[j] != b:
-                continue  # stale: one of the two has been merged since
-            ids[i], alive[j], right[i] = joined, False, right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            offer(left[i], i)
-            offer(i, right[i])
-        return [x for x, there in zip(ids, alive, strict=True) if there]
+            rank, i = divmod(heapq.heappop(queue), n)
+            j = right[i]
+            if ids[i] < 0 or j >= n or rank_of(ids[i] << 32 | ids[j]) != rank:
+                continue
+            ids[i], ids[j], right[i] = joined[rank], -1, right[j]
+            h, k = left[i], right[i]
+            if k < n:
+                left[k] = i
+                if (rank := rank_of(ids[i] << 32 | ids[k])) is not None:
+                    heapq.heappush(queue, rank * n + i)
+            if h >= 0 and (rank := rank_of(ids[h] << 32 | ids[i])) is not None:
+                heapq.heappush(queue, rank * n + h)
+        return [x for x in ids if x >= 0]
 
     def _fresh(self, text: str) -> tuple[bytes, str]:
         ids = [i for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text)) for i in self.merge(w)]
         return np.array(ids, "<i4").tobytes(), self.decode(ids)
 
+    def _plain(self, word: str) -> tuple[bytes, str]:
+        ids = self.merge(word)
+        return struct.pack(f"<{len(ids)}i", *ids), self.decode(ids)
+
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
         """Ids (little-endian 32 bits) and decoded text of what stands between white space."""
         found = self.seen.get(chunk)
         if found is None:
             if len(self.seen) >= REMEMBER:
-                self.seen.clear()
-            found = self.seen[chunk] = self._fresh(chunk)
+                self.older = self.seen
+                self.seen = {}
+            found = self.older.get(chunk)
+            if found is None:
+                if LETTERS.fullmatch(chunk):  # composed letters: one pre-token, whose lower case is its normal form
+                    low = chunk.lower()
+                    found = self._plain(low.encode().decode("latin-1").translate(self.shown)) if low == chunk else self._chunk(low)
+                elif chunk[-1] in ".," and LETTERS.fullmatch(chunk, 0, len(chunk) - 1):  # two pre-tokens
+                    (a, b), (c, d) = self._chunk(chunk[:-1]), self._chunk(chunk[-1])
+                    found = a + c, f"{b} {d}"
+                else:
+                    found = self._fresh(chunk)
+            self.seen[chunk] = found
         return found
 
     def encode_plain(self, text: str) -> list[tuple[bytes, str]]:
