@@ -21,7 +21,7 @@ from quadrel.llm.base import scratch
 
 END = 0
 #: Words whose ids a Python worker remembers in each of two generations; a full one takes the older's place.
-REMEMBER = 250_000
+REMEMBER = 500_000
 _DOUBLE_WHITE = re.compile(r"\s\s|^\s|\s\Z")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Letters that every Unicode version knows, then at most one mark: one or two pre-tokens.
