@@ -18,11 +18,12 @@ from quadrel.llm.base import whole_text
 from quadrel.llm.boost import Boosted, precise_threshold
 
 # The base patterns, by kind in the order of the output. Look-behinds (with \G, the end of
-# the last match) only keep the search from trying again inside a run; they change no match.
+# the last match) only keep the search from trying again inside a run, and possessive repeats keep Java from
+# recursing once for each round of a group; neither changes a match.
 BASE = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
-    "card": r"[0-9]([\x20-]?[0-9])+",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GENERATED = {
@@ -166,7 +167,8 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     limit = F.element_at(F.array(*(F.lit(limits[k]) for k in range(len(KINDS)))), F.col("kind") + 1)
     rows = rows.withColumn("proposed", F.col("kind").isNotNull() & ~F.col("base") & (trees.column(FEATURES) >= limit))
     ordered = Window.partitionBy("row").orderBy("start", F.desc("end"), "kind")
-    before, after = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(1, Window.unboundedFollowing)
+    backward = Window.partitionBy("row").orderBy(F.desc("start"), "end", F.desc("kind"))  # a frame up to the end would cost the square of a text's candidates
+    before, after = ordered.rowsBetween(Window.unboundedPreceding, -1), backward.rowsBetween(Window.unboundedPreceding, -1)
     taken = F.max(F.when(F.col("base") | F.col("proposed"), F.col("end"))).over(before)
     base_next = F.min(F.when(F.col("base"), F.col("start"))).over(after)
     clear = (F.coalesce(taken, F.lit(0)) <= F.col("start")) & (F.coalesce(base_next, F.col("end")) >= F.col("end"))
