@@ -25,6 +25,8 @@ LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
 #: Text for each bucket of minimizers, text hashed at once, and 50-byte strings of a batch of the index.
 BUCKET_BYTES, SLICE_BYTES, BATCH = 16 << 20, 4 << 20, 400_000
+#: Runs that a task remembers having sent on; once so many are known it starts afresh.
+SENT = 100_000
 LOWEST = -(1 << 63)
 
 
@@ -165,9 +167,15 @@ def _shared_names(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _runs_to_check(docs: DataFrame) -> DataFrame:
-    """bucket, owner, mark, start, bytes of every run of strings whose minimizer is shared. docs: owner, mark, text, codes."""
+    """code, owner, mark, start, to, bytes of every run of strings whose minimizer is shared. docs: owner, mark, text, codes.
+
+    A run that a smaller owner has sent from this task, byte for byte, is covered already: it goes without
+    its bytes, dealt out by owner. So a passage of very many documents comes to its bucket a few times a
+    task (whenever a smaller owner turns up), not once a document.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[bytes, int] = {}
         for b in batches:
             owners, marks = np.asarray(b["owner"]), np.asarray(b["mark"])
             texts, lists = [t.encode() for t in b["text"].to_pylist()], b["codes"].to_pylist()
@@ -183,11 +191,24 @@ def _runs_to_check(docs: DataFrame) -> DataFrame:
                 doc, first, last, code = doc[keep], first[keep], last[keep], code[keep]
                 sizes = last - first + LENGTH - 1
                 offsets = np.r_[0, np.cumsum(sizes)]
-                flat = data[np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], sizes)]
-                held = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(owners[i:j][doc]), pa.array(marks[i:j][doc]), pa.array((first - starts[doc]).astype(np.int64)), held], ["code", "owner", "mark", "start", "bytes"])
-
-    return docs.select("owner", "mark", "text", "codes").mapInArrow(run, "code long, owner long, mark long, start long, bytes binary")
+                flat = data[np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], sizes)].tobytes()
+                own, start = owners[i:j][doc], (first - starts[doc]).astype(np.int64)
+                covered = np.zeros(len(own), bool)
+                order = np.argsort(own, kind="stable")
+                for k, o, x, y in zip(order.tolist(), own[order].tolist(), offsets[:-1][order].tolist(), offsets[1:][order].tolist(), strict=True):
+                    before = sent.get(held := flat[x:y])
+                    if before is not None and before < o:
+                        covered[k] = True
+                    elif before != o:
+                        if len(sent) >= SENT:
+                            sent.clear()
+                        sent[held] = o
+                code = np.where(covered, _code_of(_mixed(own.view(np.uint64))), code)
+                held = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)])
+                held = pa.compute.if_else(pa.array(covered), pa.scalar(None, pa.binary()), held)
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(own), pa.array(marks[i:j][doc]), pa.array(start), pa.array(start + sizes, mask=~covered), held], ["code", "owner", "mark", "start", "to", "bytes"])
+
+    return docs.select("owner", "mark", "text", "codes").mapInArrow(run, "code long, owner long, mark long, start long, to long, bytes binary")
 
 
 class IndexFamily:
@@ -250,6 +271,11 @@ def _covered(runs: DataFrame, buckets: int) -> DataFrame:
             return settle(joined[0])
 
         for b in batches:
+            known = pa.compute.is_null(b["bytes"])
+            yield b.filter(known).select(["owner", "mark", "start", "to"]).rename_columns(["owner", "mark", "from", "to"])
+            b = b.filter(pa.compute.invert(known))
+            if not b.num_rows:
+                continue
             bucket, owner = np.asarray(b["bucket"]), np.asarray(b["owner"])
             cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])) + 1
             cuts = np.r_[0, cuts, b.num_rows]
@@ -271,7 +297,7 @@ def _covered(runs: DataFrame, buckets: int) -> DataFrame:
         if kept:
             yield flush()
 
-    dealt = runs.withColumn("bucket", F.pmod(F.shiftright("code", 8), F.lit(buckets)).cast("int")).select("bucket", "owner", "mark", "start", "bytes")
+    dealt = runs.withColumn("bucket", F.pmod(F.shiftright("code", 8), F.lit(buckets)).cast("int")).select("bucket", "owner", "mark", "start", "to", "bytes")
     return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "owner").mapInArrow(check, "owner long, mark long, from long, to long")
 
 

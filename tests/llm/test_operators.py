@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from llm.conftest import rows
+from llm.conftest import prose, rows
 from quadrel.llm import boost, bpe, graph, licenses, nearjoin, packing, pii, queries, recipes, repeats, rules, tokens, urls
 
 BYTE, WORD = queries.BYTE_BPE, queries.WORD_BPE
@@ -170,6 +170,18 @@ def test_repeats(spark, odd, none, sf_dir):
     assert sum(b - a for a, b in r.spans) == r.n_removed and hashlib.sha256(r.kept).hexdigest() == r.kept_sha256
 
 
+def test_a_passage_of_many_documents_is_sent_on_a_few_times(spark):
+    passage = "every one of these documents holds this very passage, which is well over fifty bytes long"
+    plain = [(1000 - k, f"{prose(k, 12)} {passage} {prose(k + 5000, 12)}") for k in range(600)]
+    docs = spark.createDataFrame(plain, "doc_id long, text string").repartition(3)
+    assert bag(map(tuple, repeats.remove_repeats(docs).collect())) == bag(plain_repeats(plain))
+    codes = repeats._code_of(repeats.minimizers(np.frombuffer(passage.encode(), np.uint8))).tobytes()
+    rows = docs.select(F.col("doc_id").alias("owner"), F.lit(0).cast("long").alias("mark"), "text", F.array(F.lit(codes)).alias("codes"))
+    found = repeats._runs_to_check(rows).toPandas()
+    inner = found[[passage.encode().find(x) >= 0 if x is not None else False for x in found["bytes"]]]
+    assert len(inner) < 0.1 * len(found) and found["to"].notna().sum() + found["bytes"].notna().sum() == len(found)
+
+
 def test_index_family():
     import pyarrow as pa
 
