@@ -26,7 +26,7 @@ WINDOW = LENGTH - GRAM + 1
 #: Text for each bucket of minimizers, text hashed at once, and 50-byte strings of a batch of the index.
 BUCKET_BYTES, SLICE_BYTES, BATCH = 16 << 20, 4 << 20, 400_000
 #: Runs that a task remembers having sent on; once so many are known it starts afresh.
-SENT = 100_000
+SENT = 20_000
 LOWEST = -(1 << 63)
 
 
@@ -59,11 +59,11 @@ def minimizers(data: np.ndarray) -> np.ndarray:
     return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
 
-def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+def _slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     start, total = 0, 0
     for k, n in enumerate(sizes):
         total += n
-        if total >= SLICE_BYTES:
+        if total >= most:
             yield start, k + 1
             start, total = k + 1, 0
     if start < len(sizes):
@@ -179,7 +179,7 @@ def _runs_to_check(docs: DataFrame) -> DataFrame:
         for b in batches:
             owners, marks = np.asarray(b["owner"]), np.asarray(b["mark"])
             texts, lists = [t.encode() for t in b["text"].to_pylist()], b["codes"].to_pylist()
-            for i, j in _slices([len(t) for t in texts]):
+            for i, j in _slices([len(t) for t in texts], SLICE_BYTES // 2):
                 data, doc, first, last, low, starts = _runs(texts[i:j])
                 code, ends = _code_of(low), np.searchsorted(doc, np.arange(j - i + 1))
                 keep = np.zeros(len(doc), bool)
@@ -195,8 +195,9 @@ def _runs_to_check(docs: DataFrame) -> DataFrame:
                 own, start = owners[i:j][doc], (first - starts[doc]).astype(np.int64)
                 covered = np.zeros(len(own), bool)
                 order = np.argsort(own, kind="stable")
-                for k, o, x, y in zip(order.tolist(), own[order].tolist(), offsets[:-1][order].tolist(), offsets[1:][order].tolist(), strict=True):
-                    before = sent.get(held := flat[x:y])
+                for k in order:
+                    o = int(own[k])
+                    before = sent.get(held := flat[offsets[k] : offsets[k + 1]])
                     if before is not None and before < o:
                         covered[k] = True
                     elif before != o:
