@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 #: At most so many labelled documents, those with the lowest hash of their id, fit and calibrate the forest.
 SAMPLE = 4096
 TREES, PER_TREE, SEED = 128, 256, 10
-#: Of labelled good documents that pass the base rules, at least this share stays.
-KEEP_GOOD = 0.998
 SYMBOLS = b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -110,14 +108,28 @@ class IsolationForest:
         return 2.0 ** (-total / max(len(self.trees), 1) / self.unit)
 
 
+def best_threshold(good: np.ndarray, bad: np.ndarray) -> float:
+    """The good score up to which the fewest rows are misjudged: bad ones over it are caught, good ones over it lost.
+
+    Of equal choices the one that loses the fewest good rows; without good rows nothing is over it.
+    """
+    if not len(good):
+        return 2.0
+    cuts, counts = np.unique(good, return_counts=True)
+    lost = len(good) - np.cumsum(counts)
+    caught = len(bad) - np.searchsorted(np.sort(bad), cuts, "right")
+    gain = caught - lost
+    return float(cuts[np.flatnonzero(gain == gain.max())[-1]])
+
+
 class Rules:
-    """A fitted forest with its threshold; without labelled good rows nothing counts as anomalous."""
+    """A fitted forest with its threshold, set from good and bad labelled rows that pass the base rules; without good ones nothing counts as anomalous."""
 
-    def __init__(self, stats: np.ndarray, quality: np.ndarray, keep_good: float = KEEP_GOOD) -> None:
+    def __init__(self, stats: np.ndarray, quality: np.ndarray) -> None:
         rows = features(stats)
         self.forest = IsolationForest(rows) if len(rows) else None
-        good = (quality == 1) & ~base_failed(stats) if len(rows) else np.zeros(0, bool)
-        self.threshold = float(np.quantile(self.forest.score(rows[good]), keep_good, method="higher")) if good.any() else 2.0
+        passed = ~base_failed(stats) if len(rows) else np.zeros(0, bool)
+        self.threshold = best_threshold(self.anomaly(stats[passed & (quality == 1)]), self.anomaly(stats[passed & (quality == 0)])) if passed.any() else 2.0
 
     def anomaly(self, stats: np.ndarray) -> np.ndarray:
         return self.forest.score(features(stats)) if self.forest and len(stats) else np.zeros(len(stats))

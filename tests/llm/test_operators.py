@@ -478,6 +478,17 @@ def test_quality(spark, odd, none, labels, sf_dir):
     assert left.columns == odd.columns and {r.doc_id for r in left.collect()} <= {i for i, t in odd_texts() if not plain_stats(t)[5]}
 
 
+def test_threshold_weighs_bad_against_good():
+    assert rules.best_threshold(np.array([0.1, 0.2, 0.3, 0.6]), np.array([0.4, 0.5, 0.55, 0.25])) == 0.3
+    assert rules.best_threshold(np.array([0.1, 0.2, 0.3]), np.array([])) == 0.3 and rules.best_threshold(np.array([]), np.array([0.4])) == 2.0
+    draw = np.random.default_rng(0)
+    made = lambda n, share: np.column_stack([draw.integers(200, 400, n), draw.integers(900, 1000, n), draw.integers(0, 9, n) + share, np.zeros(n), np.zeros(n), np.full(n, 9), draw.integers(90, 110, n)]).astype(float)
+    good, bad = np.vstack([made(980, 0), made(20, 900)]), made(80, 900)  # some good rows look like the bad ones
+    fitted = rules.Rules(np.vstack([good, bad]), np.r_[np.ones(1000), np.zeros(80)])
+    caught, lost = (fitted.anomaly(bad) > fitted.threshold).sum(), (fitted.anomaly(good) > fitted.threshold).sum()
+    assert caught > 0.9 * 80 and lost < 50 and caught > lost
+
+
 def test_isolation_forest():
     draw = np.random.default_rng(0)
     usual, odd = draw.normal(size=(3000, 4)), draw.normal(size=(30, 4)) + 8
