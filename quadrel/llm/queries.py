@@ -47,7 +47,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge_urls(table(spark, sf_dir, "pages"))
+    return urls.judge_urls(table(spark, sf_dir, "pages"), of_judged=True)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

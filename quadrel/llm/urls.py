@@ -12,7 +12,7 @@ RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
     ("block", "net", "/es/"), ("block", "net", "/fr/"),
 ]
-#: A host is a seed if rules judge more than this share of its pages alike.
+#: A host is a seed if rules judge more than this share of its pages alike, or of its judged pages (`judge_urls`, `of_judged`).
 SEED_SHARE = 0.5
 STEPS, FOLLOW, CUT_EACH = 8, 0.85, 4
 #: A host is blocked if its distrust is over this multiple of its trust.
@@ -62,16 +62,20 @@ def propagate(seeds: DataFrame, links: DataFrame, steps: int = STEPS, follow: fl
     return rank.groupBy("host").agg(of("trust"), of("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", of_judged: bool = False) -> DataFrame:
     """page_id, host, path, rule and verdict of every page, with its host's trust and distrust.
 
+    of_judged: seeds are chosen by the share among the pages that rules judge, so that more pages without
+    a rule do not take a host's part away; else by the share among all its pages.
+
     The rule decides where one fits. Else the page is blocked if its host's distrust outweighs its trust,
     and allowed otherwise: a host that neither reaches stays. Null urls and urls without :// have empty
     host and path and are allowed; null html has no links. Repeated rows are judged each.
     """
     host, path = host_and_path(F.col(url_col))
     judged = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("found", longest_rule(F.col("host"), F.col("path"), rules))
-    share = lambda verdict: F.avg((F.coalesce(F.col("found.verdict"), F.lit("")) == verdict).cast("double")) > SEED_SHARE
+    counted = F.col("found.verdict") if of_judged else F.coalesce(F.col("found.verdict"), F.lit(""))
+    share = lambda verdict: F.coalesce(F.avg((counted == verdict).cast("double")) > SEED_SHARE, F.lit(False))
     seeds = written(judged.filter("host <> ''").groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked")), "seeds")
     ranks = propagate(seeds, host_links(pages, url_col, html_col))
     ranked = judged.join(ranks, "host", "left")

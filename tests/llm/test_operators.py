@@ -390,6 +390,14 @@ def test_urls(spark, sf_dir, linked):
     assert urls.judge_urls(frame.limit(0)).count() == 0
 
 
+def test_a_host_stays_a_seed_as_it_gains_pages_without_a_rule(spark, tmp_path):
+    for n in (1, 40):
+        pages = [(0, "http://a.net/fr/1", ""), *((k, f"http://a.net/en/{k}", "") for k in range(1, n + 1)), (99, "http://b.org/", "")]
+        spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / f"{n}" / "pages.parquet"))
+        found = {r.page_id: r.verdict for r in queries.op8_url_filter(spark, str(tmp_path / f"{n}")).collect()}
+        assert found == {k: "allow" if k == 99 else "block" for k, *_ in pages}
+
+
 # ---- 9: personal data
 
 
