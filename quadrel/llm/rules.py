@@ -7,12 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: At most so many labelled documents, those with the lowest hash of their id, fit and calibrate the forest.
+from quadrel.llm.base import written
+
+#: At most so many labelled documents, those with the lowest hash of their id, fit the forest; all labelled rows set its threshold.
 SAMPLE = 4096
 TREES, PER_TREE, SEED = 128, 256, 10
+#: Scores are counted in so many bands.
+BANDS = 4096
 SYMBOLS = b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -108,28 +112,30 @@ class IsolationForest:
         return 2.0 ** (-total / max(len(self.trees), 1) / self.unit)
 
 
-def best_threshold(good: np.ndarray, bad: np.ndarray) -> float:
+def best_threshold(scored: DataFrame) -> float:
     """The good score up to which the fewest rows are misjudged: bad ones over it are caught, good ones over it lost.
 
-    Of equal choices the one that loses the fewest good rows; without good rows nothing is over it.
+    scored: score, quality. Of equal choices the one that loses the fewest good rows; without good rows
+    nothing is over it. Scores are counted in bands and then within each, so no task holds them all.
     """
-    if not len(good):
-        return 2.0
-    cuts, counts = np.unique(good, return_counts=True)
-    lost = len(good) - np.cumsum(counts)
-    caught = len(bad) - np.searchsorted(np.sort(bad), cuts, "right")
-    gain = caught - lost
-    return float(cuts[np.flatnonzero(gain == gain.max())[-1]])
+    n = lambda q: F.sum((F.col("quality") == q).cast("long"))
+    by = scored.groupBy("score").agg(n(0).alias("bad"), n(1).alias("good")).withColumn("band", F.floor(F.col("score") * BANDS))
+    by = written(by, "scores")
+    over = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)  # at most BANDS + 1 rows
+    gain = F.col("bad") - F.col("good")
+    bands = by.groupBy("band").agg(F.sum(gain).alias("own")).select("band", F.coalesce(F.sum("own").over(over), F.lit(0)).alias("before"))
+    within = Window.partitionBy("band").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    found = by.withColumn("inside", F.coalesce(F.sum(gain).over(within), F.lit(0))).join(F.broadcast(bands), "band")
+    best = found.filter("good > 0").orderBy(F.desc(F.col("before") + F.col("inside")), F.desc("score")).select("score").first()
+    return best[0] if best else 2.0
 
 
 class Rules:
-    """A fitted forest with its threshold, set from good and bad labelled rows that pass the base rules; without good ones nothing counts as anomalous."""
+    """A forest fitted on rows of statistics(). Over its threshold, which fit_rules sets, a row counts as anomalous."""
 
-    def __init__(self, stats: np.ndarray, quality: np.ndarray) -> None:
-        rows = features(stats)
-        self.forest = IsolationForest(rows) if len(rows) else None
-        passed = ~base_failed(stats) if len(rows) else np.zeros(0, bool)
-        self.threshold = best_threshold(self.anomaly(stats[passed & (quality == 1)]), self.anomaly(stats[passed & (quality == 0)])) if passed.any() else 2.0
+    def __init__(self, stats: np.ndarray) -> None:
+        self.forest = IsolationForest(features(stats)) if len(stats) else None
+        self.threshold = 2.0
 
     def anomaly(self, stats: np.ndarray) -> np.ndarray:
         return self.forest.score(features(stats)) if self.forest and len(stats) else np.zeros(len(stats))
@@ -140,18 +146,32 @@ def _stats_of(texts: pa.Array) -> np.ndarray:
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Rules:
-    """Fits on at most `sample` labelled documents: those whose ids have the lowest hashes."""
-    chosen = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    some = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
+    """Fits the forest on at most `sample` labelled documents, those whose ids have the lowest hashes, and its threshold on all labelled rows."""
+    marks = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().dropDuplicates(["doc_id"])
+    chosen = marks.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    some = texts.join(F.broadcast(chosen), "doc_id")  # at most `sample` ids
+    kind, names = "doc_id " + dict(docs.dtypes)["doc_id"], [f"s{i}" for i in range(7)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = _stats_of(b["text"])
-            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "quality": b["quality"]} | {f"s{i}": s[:, i] for i in range(7)})
+            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"]} | {n: s[:, i] for i, n in enumerate(names)})
+
+    found = some.mapInArrow(run, ", ".join([kind, *(n + " double" for n in names)])).orderBy(F.xxhash64("doc_id", *names), "doc_id", *names).limit(2 * sample).toPandas()
+    found = found.sort_values(["doc_id", *names])  # repeated rows over the limit go by their hashes
+    rules = Rules(found[names].to_numpy(float).reshape(len(found), 7))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = _stats_of(b["text"])
+            passed = ~base_failed(s)
+            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"].filter(pa.array(passed)), "score": rules.anomaly(s[passed])})
 
-    kind = "doc_id " + dict(docs.dtypes)["doc_id"] + ", quality int, " + ", ".join(f"s{i} double" for i in range(7))
-    found = some.mapInArrow(run, kind).orderBy("doc_id", *[f"s{i}" for i in range(7)]).limit(2 * sample).toPandas()
-    return Rules(found[[f"s{i}" for i in range(7)]].to_numpy(float).reshape(len(found), 7), found["quality"].to_numpy())
+    if rules.forest:
+        scored = texts.mapInArrow(score, kind + ", score double").join(marks, "doc_id")  # scores are joined, never texts
+        rules.threshold = best_threshold(scored.select("score", "quality"))
+    return rules
 
 
 def judge(docs: DataFrame, rules: Rules, carry: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:

@@ -486,15 +486,27 @@ def test_quality(spark, odd, none, labels, sf_dir):
     assert left.columns == odd.columns and {r.doc_id for r in left.collect()} <= {i for i, t in odd_texts() if not plain_stats(t)[5]}
 
 
-def test_threshold_weighs_bad_against_good():
-    assert rules.best_threshold(np.array([0.1, 0.2, 0.3, 0.6]), np.array([0.4, 0.5, 0.55, 0.25])) == 0.3
-    assert rules.best_threshold(np.array([0.1, 0.2, 0.3]), np.array([])) == 0.3 and rules.best_threshold(np.array([]), np.array([0.4])) == 2.0
+def plain_threshold(good, bad):
+    gain = {t: sum(x > t for x in bad) - sum(x > t for x in good) for t in good}
+    return max(t for t in gain if gain[t] == max(gain.values())) if gain else 2.0
+
+
+def test_threshold_weighs_bad_against_good(spark):
     draw = np.random.default_rng(0)
-    made = lambda n, share: np.column_stack([draw.integers(200, 400, n), draw.integers(900, 1000, n), draw.integers(0, 9, n) + share, np.zeros(n), np.zeros(n), np.full(n, 9), draw.integers(90, 110, n)]).astype(float)
-    good, bad = np.vstack([made(980, 0), made(20, 900)]), made(80, 900)  # some good rows look like the bad ones
-    fitted = rules.Rules(np.vstack([good, bad]), np.r_[np.ones(1000), np.zeros(80)])
-    caught, lost = (fitted.anomaly(bad) > fitted.threshold).sum(), (fitted.anomaly(good) > fitted.threshold).sum()
-    assert caught > 0.9 * 80 and lost < 50 and caught > lost
+    clear = [0.1, 0.2, 0.3, 0.6], [0.4, 0.5, 0.55, 0.25]
+    assert plain_threshold(*clear) == 0.3
+    for good, bad in (clear, ([0.1, 0.2, 0.3], []), ([], [0.4]), ([], []), (draw.normal(0.4, 0.05, 300).tolist() + [0.45] * 9, draw.normal(0.47, 0.05, 60).tolist() + [0.45] * 5)):
+        rows = [(x, 1) for x in good] + [(x, 0) for x in bad]
+        assert rules.best_threshold(spark.createDataFrame(rows, "score double, quality int")) == plain_threshold(good, bad)
+
+
+def test_every_labelled_row_sets_the_threshold(spark, sf_dir):
+    docs, marks = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs = docs.unionByName(docs.filter("doc_id % 3 = 0")).unionByName(docs.limit(0))
+    fitted = rules.fit_rules(docs, marks, sample=24)
+    quality = {r.doc_id: r.quality for r in marks.collect()}
+    scored = [(r.anomaly, quality[r.doc_id]) for r in rules.judge(docs, fitted).collect() if r.doc_id in quality and not r.base_failed]
+    assert len(scored) > 48 and fitted.threshold == pytest.approx(plain_threshold([x for x, q in scored if q == 1], [x for x, q in scored if q == 0]), abs=1e-12)
 
 
 def test_isolation_forest():
