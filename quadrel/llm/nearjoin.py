@@ -68,7 +68,8 @@ def _class_key(grams: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, n: int = WORDS, bands: int = 24, rows: int = 6) -> DataFrame:
-    """doc_id, key (of the n-gram set), size, bands (a hash for each band; none for an empty set)."""
+    """docs' columns but text, key (of the n-gram set), size, bands (a hash for each band; none for an empty set)."""
+    carry = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(n)
@@ -87,12 +88,12 @@ def signatures(docs: DataFrame, n: int = WORDS, bands: int = 24, rows: int = 6)
             sets = [grams(t) for t in b["text"].to_pylist()]
             marks = [sign(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array([_class_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
-                ["doc_id", "key", "size", "bands"],
+                [*(b[c] for c in carry), pa.array([_class_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
+                [*carry, "key", "size", "bands"],
             )
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, size long, bands array<long>")
+    kinds = dict(docs.dtypes)
+    return docs.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in carry) + ", key binary, size long, bands array<long>")
 
 
 def candidate_components(reps: DataFrame) -> DataFrame:
@@ -187,34 +188,48 @@ def verified(docs: DataFrame, reps: DataFrame, comps: DataFrame, n: int, thresho
     return dealt.mapInArrow(run, "node long, links long, root long")
 
 
-def near_classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document with its class of near copies.
+def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The signatures of docs (doc_id, text, perhaps mark), and each n-gram set: key, root of its class, rep_id, n_copies, n_links.
 
-    doc_id; class_id, the smallest doc_id of all documents that links connect; n_links, the number of other
-    n-gram sets at or over the threshold; set_id, the smallest doc_id with the very same n-gram set, and
-    n_copies, how many documents have it. Null text counts as empty; texts without words form one set that
-    links to nothing. Null doc_ids take part, but name a class only if it has no other. Repeated rows
-    count as copies. An empty table gives no rows; other columns are ignored.
+    With mark, least is also given: the set's smallest doc_id (nulls last) and mark.
     """
     bands, rows = choose_bands(threshold, recall)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = written(signatures(docs, n, bands, rows), "signatures")
-    reps = signed.groupBy("key").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    least = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("least")] if "mark" in docs.columns else []
+    reps = signed.groupBy("key").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("bands").alias("bands"), *least)
     reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "representatives")
     comps = written(candidate_components(reps), "candidates")
     found = written(verified(docs, reps, comps, n, threshold), "links")
     classes = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
-    named = reps.drop("bands", "size").join(classes, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return signed, reps.drop("bands", "size").join(classes, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def near_classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every document with its class of near copies.
+
+    doc_id; class_id, the smallest doc_id of all documents that links connect; n_links, the number of other
+    n-gram sets at or over the threshold; set_id, the smallest doc_id with the very same n-gram set, and
+    n_copies, how many documents have it. Null text counts as empty; texts without words form one set that
+    links to nothing. Null doc_ids take part, but name a class only if it has no other. Repeated rows
+    count as copies. An empty table gives no rows; other columns are ignored.
+    """
+    signed, named = _classes(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), n, threshold, recall)
     ids = named.groupBy("root").agg(F.min("rep_id").alias("class_id"))
     named = named.join(ids, "root").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("rep_id").alias("set_id"), "n_copies")
     return signed.select("doc_id", "key").join(named, "key").drop("key")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id names their class, all columns; of repeated rows one stays."""
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("__id")
-    first = near_classes(docs, id_col=id_col, text_col=text_col).select(name("class_id")).distinct()
-    one = Window.partitionBy("__id").orderBy("__id")  # dealt out as for the join
-    found = docs.select("*", name(id_col)).join(first, "__id", "left_semi").withColumn("__n", F.row_number().over(one))
+    """One row of docs for each class, all columns: that of the smallest doc_id, nulls last, and of its texts the one with the smallest set key.
+
+    Of repeated rows, doc_id and text alike, one stays.
+    """
+    own = F.col(id_col).cast("string")
+    mark = F.sha2(F.concat(F.when(own.isNull(), "").otherwise(F.concat(F.char_length(own), F.lit(":"), own)), F.lit("|"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256)
+    marked = docs.withColumn("__mark", mark)
+    named = _classes(marked.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col("__mark").alias("mark")), WORDS, THRESHOLD, RECALL)[1]
+    first = named.groupBy("root").agg(F.min(F.struct("least.none", "least.doc_id", "key", "least.mark")).alias("first")).select(F.col("first.mark").alias("__mark"))
+    one = Window.partitionBy("__mark").orderBy("__mark")  # dealt out as for the join
+    found = marked.join(first, "__mark", "left_semi").withColumn("__n", F.row_number().over(one))
     return found.filter("__n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -307,6 +307,15 @@ def test_near_copies(spark, odd, none, sf_dir):
     assert sorted(r.doc_id for r in left.collect()) == sorted({c[1] for c in plain_classes(texts(sf_dir))})
 
 
+def test_one_text_of_each_class_stays(spark):
+    a, clean = prose(1, 120), prose(3, 60)
+    near = " ".join([*a.split()[:117], "x", "y", "z"])
+    nameless = [prose(k, 30) for k in range(40, 46)]
+    plain = [(3, near), (10, a), (10, clean), (10, clean), *((None, t) for t in nameless), (None, nameless[0]), (None, clean), (7, prose(50, 30))]
+    left = nearjoin.drop_near_copies(spark.createDataFrame(plain, "doc_id long, text string").repartition(3)).collect()
+    assert bag((r.doc_id, r.text) for r in left) == bag([(3, near), (10, clean), (7, prose(50, 30)), *((None, t) for t in nameless)])
+
+
 def test_blocks_find_every_link(spark, monkeypatch):
     base = [f"w{k}" for k in range(150)]
     docs = [(k, " ".join(base[:k] + [f"x{k}"] + base[k + 1 :])) for k in range(0, 60)]
