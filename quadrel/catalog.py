@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from quadrel.functions.predicates import (
 )
 from quadrel.operators import conflicts, federation, identity, mutations, quads, validation
 from quadrel.schema import Ref, Table, alias, column, double, integer, key, many, one, string, table, timestamp
+from quadrel.sources import layout
 
 NS = "http://data.example/vocab#"
 HOME = "http://data.example/"
@@ -41,11 +42,13 @@ DEAR = 400000
 
 def open_db(spark: SparkSession, sf_dir: str) -> Database:
     db = Database(spark)
-    for t in TABLES:
+
+    def opened(t: Table) -> DataFrame:
         df = spark.read.parquet(f"{sf_dir}/{t.name}.parquet")
-        if t is LINEITEM:
-            df = df.withColumn("l_id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-        db.bind(t, df)
+        return df.withColumn("l_id", F.concat_ws("-", "l_orderkey", "l_linenumber")) if t is LINEITEM else df
+
+    for t in TABLES:
+        db.bind_later(t, partial(opened, t))
     return db.relate(REGION, nations=many(NATION, ("r_regionkey",), ("n_regionkey",))).relate(
         NATION, region=one(REGION, ("n_regionkey",), ("r_regionkey",)), customers=many(CUSTOMER, ("n_nationkey",), ("c_nationkey",))
     ).relate(CUSTOMER, orders=many(ORDERS, ("c_custkey",), ("o_custkey",))).relate(ORDERS, customer=one(CUSTOMER, ("o_custkey",), ("c_custkey",)))
@@ -127,12 +130,12 @@ def _filter(name: str, t: Table, fields: list[str], condition: Callable, sql: st
 _filter("filter_eq", ORDERS, ["o_orderkey", "o_orderstatus"], lambda c: eq(c.o_orderstatus, "F"), "o_orderstatus = 'F'")
 _filter("filter_ne", ORDERS, ["o_orderkey", "o_orderstatus"], lambda c: ne(c.o_orderstatus, "F"), "o_orderstatus <> 'F'")
 _filter("filter_gt_gte_lt_lte", LINEITEM, ["l_orderkey", "l_linenumber", "l_quantity"], lambda c: and_(gt(c.l_quantity, 10), gte(c.l_discount, 0.05), lt(c.l_quantity, 40), lte(c.l_tax, 0.04)), "l_quantity > 10 AND l_discount >= 0.05 AND l_quantity < 40 AND l_tax <= 0.04")
-_filter("filter_like_ci", PART, ["p_partkey", "p_name"], lambda c: like(c.p_name, "PART%1_"), "p_name ILIKE 'PART%1_'")
+_filter("filter_like_ci", PART, ["p_partkey", "p_name"], lambda c: like(c.p_name, "RED%_GET"), "p_name ILIKE 'RED%_GET'")
 _filter("filter_ilike", CUSTOMER, ["c_custkey", "c_name"], lambda c: ilike(c.c_name, "%CUST%7"), "c_name ILIKE '%CUST%7'")
 _filter("filter_between", LINEITEM, ["l_orderkey", "l_linenumber", "l_quantity"], lambda c: between(c.l_quantity, 10, 12), "l_quantity BETWEEN 10 AND 12")
 _filter("filter_not_between", LINEITEM, ["l_orderkey", "l_linenumber", "l_quantity"], lambda c: not_between(c.l_quantity, 3, 48), "l_quantity NOT BETWEEN 3 AND 48")
 _filter("filter_regex", PART, ["p_partkey", "p_type"], lambda c: regex(c.p_type, "[A-F]"), "regexp_matches(p_type, '[A-F]')")
-_filter("filter_regex_flags", PART, ["p_partkey", "p_name"], lambda c: regex(c.p_name, "part.*9$", "i"), "regexp_matches(p_name, '(?i)part.*9$')")
+_filter("filter_regex_flags", PART, ["p_partkey", "p_name"], lambda c: regex(c.p_name, "^RED.*T$", "i"), "regexp_matches(p_name, '(?i)^RED.*T$')")
 _filter("filter_in", NATION, ["n_nationkey"], lambda c: in_array(c.n_regionkey, [1, 3]), "n_regionkey IN (1, 3)")
 _filter("filter_not_in", NATION, ["n_nationkey"], lambda c: not_in_array(c.n_regionkey, [1, 3]), "n_regionkey NOT IN (1, 3)")
 _filter("filter_in_empty", NATION, ["n_nationkey"], lambda c: in_array(c.n_regionkey, []), "false")
@@ -199,17 +202,17 @@ def join_cross(db):
     return db.select(r_name=REGION.c.r_name, n_name=NATION.c.n_name).from_(REGION).cross_join(NATION).df()
 
 
-@query(f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey > 700) RIGHT JOIN (SELECT * FROM orders WHERE o_totalprice > {DEAR}) ON c_custkey = o_custkey")
+@query(f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 0) RIGHT JOIN (SELECT * FROM orders WHERE o_totalprice > {DEAR}) ON c_custkey = o_custkey")
 def join_right(db):
     _dear(db)
-    db.bind(CUSTOMER, db.frames["customer"].filter("c_custkey > 700"))
+    db.bind(CUSTOMER, db.frames["customer"].filter("c_acctbal > 0"))
     return db.select(c_custkey=CUSTOMER.c.c_custkey, o_orderkey=ORDERS.c.o_orderkey).from_(CUSTOMER).right_join(ORDERS, _ON).df()
 
 
-@query(f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey > 700) FULL JOIN (SELECT * FROM orders WHERE o_totalprice > {DEAR}) ON c_custkey = o_custkey")
+@query(f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 0) FULL JOIN (SELECT * FROM orders WHERE o_totalprice > {DEAR}) ON c_custkey = o_custkey")
 def join_full(db):
     _dear(db)
-    db.bind(CUSTOMER, db.frames["customer"].filter("c_custkey > 700"))
+    db.bind(CUSTOMER, db.frames["customer"].filter("c_acctbal > 0"))
     return db.select(c_custkey=CUSTOMER.c.c_custkey, o_orderkey=ORDERS.c.o_orderkey).from_(CUSTOMER).full_join(ORDERS, _ON).df()
 
 
@@ -374,6 +377,19 @@ def set_except(db):
     return db.select(k=CUSTOMER.c.c_custkey).from_(CUSTOMER).except_(db.select(k="user_id").from_(EVENTS))
 
 
+@query("SELECT o_custkey AS k FROM orders EXCEPT SELECT user_id FROM events WHERE event_type = 'click'")
+def set_except_repeats(db):
+    """Most customers have several orders: a value goes however often it stands on the left."""
+    return db.select(k="o_custkey").from_(ORDERS).except_(db.select(k="user_id").from_(EVENTS).where(eq(EVENTS.c.event_type, "click")))
+
+
+@query("SELECT DISTINCT o_orderpriority, n FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority, o_custkey) ORDER BY o_orderpriority DESC, n")
+def group_distinct_order(db):
+    """Grouped by one more column than is shown: equal rows that are put out count once."""
+    q = db.select(o_orderpriority="o_orderpriority", n=count()).from_(ORDERS).group_by("o_orderpriority", "o_custkey")
+    return q.distinct().order_by(desc(ORDERS.c.o_orderpriority), asc("n")).df()
+
+
 # ---- relations
 
 
@@ -426,6 +442,12 @@ def exact_by_id(db):
     return db.query(CUSTOMER).find_by_id(42, columns=["c_custkey", "c_name"])
 
 
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey = 42")
+def exact_by_id_limit(db):
+    """The lookup comes before the page, whatever sorts before the row."""
+    return db.query(CUSTOMER).find_by_id(42, columns=["c_custkey", "c_name"], order_by=desc("c_name"), limit=1)
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey = 43")
 def exact_by_iri(db):
     return db.query(CUSTOMER).find_by_iri(HOME + "customer#43", columns=["c_custkey", "c_name"])
@@ -579,9 +601,9 @@ def mut_delete(db):
     return db.frames["supplier"]
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey <= 10 THEN 'changed' ELSE s_name END AS s_name, s_nationkey::bigint AS s_nationkey, s_acctbal FROM supplier UNION ALL SELECT s_suppkey + 800000, 'changed', s_nationkey, s_acctbal FROM supplier WHERE s_suppkey <= 10")
+@query("SELECT s_suppkey, CASE WHEN s_acctbal > 5000 THEN 'changed' ELSE s_name END AS s_name, s_nationkey::bigint AS s_nationkey, s_acctbal FROM supplier UNION ALL SELECT s_suppkey + 800000, 'changed', s_nationkey, s_acctbal FROM supplier WHERE s_acctbal > 5000")
 def mut_upsert(db):
-    few = db.frames["supplier"].filter("s_suppkey <= 10").withColumn("s_name", F.lit("changed"))
+    few = db.frames["supplier"].filter("s_acctbal > 5000").withColumn("s_name", F.lit("changed"))
     return mutations.upsert(db, SUPPLIER, few.unionByName(few.withColumn("s_suppkey", F.col("s_suppkey") + 800000)))
 
 
@@ -671,10 +693,10 @@ def discover_merge(db):
     return found.select("rdf_class", "container", F.array_join("shapes", ",").alias("shapes"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%12%' OR p_type ILIKE '%12%' ORDER BY p_name, p_partkey LIMIT 25")
+@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%bolt%' OR p_type ILIKE '%bolt%' ORDER BY p_name, p_partkey LIMIT 25")
 def search_repository(db):
     repository = mutations.Repository(db, PART, ("p_name", "p_type"), (asc("p_name"), asc("p_partkey")))
-    return repository.list(search="12", limit=25).select("p_partkey", "p_name")
+    return repository.list(search="bolt", limit=25).select("p_partkey", "p_name")
 
 
 @query("SELECT event_type AS type, count(*) AS n FROM events GROUP BY event_type")
@@ -682,10 +704,7 @@ def stream_notify(db):
     """The events as a file stream, run until nothing is left, into a table in the shared folder."""
     from quadrel.streaming import notify
 
-    shared = db.spark.conf.get("spark.checkpoint.dir", None) or db.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quadrel-")
-    import uuid
-
-    at = f"{shared.rstrip('/')}/notify-{uuid.uuid4().hex}"
+    at = layout.scratch(db.spark, "notify")
     kinds = F.element_at(F.array(*map(F.lit, notify.KINDS)), (F.col("event_id") % 5 + 1).cast("int"))
     rows = db.frames["events"].select(F.col("event_id").cast("string").alias("id"), kinds.alias("type"), F.concat(F.lit(EVENTS.base + "#"), "event_id").alias("object"), F.col("ts").cast("timestamp").alias("published"), F.col("event_type").alias("state"))
     rows.write.parquet(f"{at}/in")

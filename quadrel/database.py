@@ -14,19 +14,53 @@ from quadrel.plans.select import Select
 from quadrel.schema import Relation, Table
 
 
+class _Frames(dict):
+    """Table name -> DataFrame; those in `later` are opened when they are first asked for."""
+
+    def __init__(self, *args: Any) -> None:
+        super().__init__(*args)
+        self.later: dict[str, Callable[[], DataFrame]] = {}
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name not in self.later:
+            raise KeyError(name)
+        self[name] = self.later[name]()
+        return self[name]
+
+    def __contains__(self, name: object) -> bool:
+        return super().__contains__(name) or name in self.later
+
+    def get(self, name: str, default: Any = None) -> Any:
+        return self[name] if name in self else default
+
+    def copy(self) -> _Frames:
+        new = _Frames(self)
+        new.later = dict(self.later)
+        return new
+
+
+def _stored(t: Table, df: DataFrame) -> DataFrame:
+    return df.select(*(F.col(f"`{c.source or n}`").alias(n) for n, c in t.columns.items()))
+
+
 class Database:
     """Tables are bound to wide DataFrames, or read out of one DataFrame of quads."""
 
     def __init__(self, spark: SparkSession, quads: DataFrame | None = None) -> None:
         self.spark, self.quads = spark, quads
-        self.frames: dict[str, DataFrame] = {}
+        self.frames = _Frames()
         self.relations: dict[str, dict[str, Relation]] = {}
         self.sources: dict[str, DataFrame] = {}
         self.errors: DataFrame | None = None
 
     def bind(self, t: Table, df: DataFrame) -> Database:
         """The table's rows; columns are found by their stored names."""
-        self.frames[t.name] = df.select(*(F.col(f"`{c.source or n}`").alias(n) for n, c in t.columns.items()))
+        self.frames[t.name] = _stored(t, df)
+        return self
+
+    def bind_later(self, t: Table, read: Callable[[], DataFrame]) -> Database:
+        """As bind(), but read() opens the rows once a query needs them."""
+        self.frames.later[t.name] = lambda: _stored(t, read())
         return self
 
     def relate(self, t: Table, **relations: Relation) -> Database:
@@ -82,7 +116,7 @@ class Database:
 
     def transaction(self, work: Callable[[Database], Any]) -> Any:
         """All of the work or none: DataFrames do not change, so the old ones are put back on failure."""
-        before, quads = dict(self.frames), self.quads
+        before, quads = self.frames.copy(), self.quads
         try:
             return work(self)
         except BaseException:

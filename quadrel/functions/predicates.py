@@ -95,6 +95,10 @@ def not_in_array(a: Any, values: Iterable) -> Logic:
     return not_(in_array(a, values))
 
 
+def ends_with(a: Any, text: str) -> Compare:
+    return Compare("ends", a, text)
+
+
 def is_null(a: Any) -> Compare:
     return Compare("null", a)
 
@@ -189,6 +193,8 @@ def to_column(node: Any, resolve: Callable[[Ref], SparkColumn], link_value: Call
                 return a.ilike(n.right)
             case "regex":
                 return a.rlike(n.right)
+            case "ends":
+                return F.endswith(a, F.lit(n.right))
         b = value(n.right, n.left)
         return {"=": a == b, "!=": a != b, ">": a > b, ">=": a >= b, "<": a < b, "<=": a <= b}[n.op]
 

@@ -28,7 +28,7 @@ def classify(message: SparkColumn) -> SparkColumn:
     """A failure's kind from its text."""
     m = F.lower(message)
     return (
-        F.when(m.rlike("401|403|forbidden|unauthor"), FORBIDDEN).when(m.rlike("404|not found"), NOT_FOUND)
+        F.when(m.rlike(r"\b(?:401|403)\b|forbidden|unauthor"), FORBIDDEN).when(m.rlike(r"\b404\b|not found"), NOT_FOUND)
         .when(m.rlike("timeout|timed out|abort"), TIMEOUT).when(m.rlike("discover"), DISCOVERY_FAILED).otherwise(NETWORK_ERROR)
     )
 

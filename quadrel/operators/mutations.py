@@ -35,16 +35,22 @@ def with_defaults(t: Table, df: DataFrame) -> DataFrame:
 
 
 def check_keys(t: Table, new: DataFrame, old: DataFrame | None) -> None:
-    """Raises on a repeated key within the batch, a key that is stored already, or an empty required value."""
-    pk = F.col(f"`{t.pk}`")
-    if (twice := new.groupBy(pk).count().filter("count > 1").first()) is not None:
-        raise ValueError(f"{t.name}: key {twice[0]!r} stands twice in the batch")
+    """Raises on a repeated key within the batch, a key that is stored already, or an empty required value. One job."""
+    pk = F.col(f"`{t.pk}`").alias("key")
     needed = [n for n, c in t.columns.items() if c.required]
-    for n in needed:
-        if new.filter(F.col(f"`{n}`").isNull()).first() is not None:
+    lacks = [F.max(F.col(f"`{n}`").isNull()).alias(f"lacks_{k}") for k, n in enumerate(needed)]
+    keys = new.groupBy(pk).agg(F.count("*").alias("n"), *lacks).withColumn("stored", F.lit(False))
+    if old is not None:
+        keys = keys.drop("stored").join(old.select(pk).distinct().withColumn("stored", F.lit(True)), "key", "left")
+    wrong = keys.filter(" or ".join(["n > 1", "stored", *(f"lacks_{k}" for k in range(len(needed)))])).first()
+    if wrong is None:
+        return
+    for k, n in enumerate(needed):
+        if wrong[f"lacks_{k}"]:
             raise ValueError(f"{t.name}: {n} must have a value")
-    if old is not None and (there := new.join(old.select(pk), t.pk, "left_semi").first()) is not None:
-        raise ValueError(f"Duplicate primary key {there[t.pk]!r} in {t.name}")
+    if wrong["n"] > 1:
+        raise ValueError(f"{t.name}: key {wrong['key']!r} stands twice in the batch")
+    raise ValueError(f"Duplicate primary key {wrong['key']!r} in {t.name}")
 
 
 class _Change:

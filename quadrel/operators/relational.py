@@ -6,11 +6,11 @@ from collections.abc import Mapping
 from functools import reduce
 from typing import TYPE_CHECKING, Any
 
-from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from quadrel.functions.aggregates import Order
+from quadrel.functions.predicates import and_, ends_with, eq, or_
 from quadrel.plans.select import Select
 from quadrel.schema import Relation, Table
 
@@ -60,12 +60,17 @@ class Finder:
     def __init__(self, db: Database, t: Table) -> None:
         self.db, self.table = db, t
 
-    def find_many(self, where: Any = None, order_by: Any = (), limit: int | None = None, offset: int | None = None, columns: Mapping[str, bool] | list[str] | None = None, with_: Mapping[str, bool] | list[str] = (), subject: SparkColumn | None = None) -> DataFrame:
-        """One row for each subject. with_ names relations of the table; they stay beside any `columns`."""
+    def find_many(self, where: Any = None, order_by: Any = (), limit: int | None = None, offset: int | None = None, columns: Mapping[str, bool] | list[str] | None = None, with_: Mapping[str, bool] | list[str] = (), subject: Any = None) -> DataFrame:
+        """One row for each subject. with_ names relations of the table; they stay beside any `columns`.
+
+        subject, a condition on the id or the IRI, holds before the page is cut.
+        """
         t = self.table
         q = Select(self.db, {**{n: t.c[n] for n in t.columns}, "_iri": t.c["_iri"]}).from_(t)
         if where is not None:
             q = q.where(where)
+        if subject is not None:
+            q = q._where(subject)
         order = (order_by,) if isinstance(order_by, Order | str) or hasattr(order_by, "alias") else tuple(order_by)
         if order:
             q = q.order_by(*order)
@@ -74,8 +79,6 @@ class Finder:
         if offset is not None:
             q = q.offset(offset)
         df = q.df()
-        if subject is not None:
-            df = df.filter(subject)
         wanted = [k for k, v in with_.items() if v] if isinstance(with_, Mapping) else list(with_)
         relations = self.db.relations.get(t.name, {})
         for name in wanted:
@@ -102,10 +105,10 @@ class Finder:
         return (q.where(where) if where is not None else q).df().first()["n"]
 
     def find_by_iri(self, iri: str, **options: Any) -> DataFrame:
-        return self.find_many(**options, subject=F.col("_iri") == iri)
+        return self.find_many(**options, subject=eq(self.table.c["_iri"], iri))
 
     def find_by_id(self, value: Any, **options: Any) -> DataFrame:
-        return self.find_many(**options, subject=F.col(f"`{self.table.pk}`") == value)
+        return self.find_many(**options, subject=eq(self.table.c[self.table.pk], value))
 
     def find_by_resource(self, ref: str, **options: Any) -> DataFrame:
         """By absolute IRI, by path below the base, or by a short id that ends exactly one subject."""
@@ -113,9 +116,9 @@ class Finder:
 
         if is_absolute(ref):
             return self.find_by_iri(ref, **options)
-        end = F.col("_iri") == self.table.base + ref
-        short = F.endswith(F.col("_iri"), F.lit("#" + ref)) | F.endswith(F.col("_iri"), F.lit("/" + ref)) | end
-        if self.db.frame(self.table).filter(short).select("_iri").distinct().limit(2).count() > 1:
+        iri = self.table.c["_iri"]
+        short = or_(ends_with(iri, "#" + ref), ends_with(iri, "/" + ref), eq(iri, self.table.base + ref))
+        if Select(self.db, {"iri": iri}).from_(self.table)._where(short).distinct().limit(2).df().count() > 1:
             raise ValueError(f"{ref!r} stands for more than one row of {self.table.name}")
         return self.find_many(**options, subject=short)
 
@@ -127,8 +130,7 @@ class Finder:
         if missing:
             raise ValueError(f"locator of {self.table.name} lacks {', '.join(missing)}")
         own = lambda n: self.table.pk if n == "id" and "id" not in self.table.columns else n
-        test = reduce(lambda a, b: a & b, (F.col(f"`{own(n)}`") == v for n, v in locator.items()))
-        return self.find_many(**options, subject=test)
+        return self.find_many(**options, subject=and_(*(eq(self.table.c[own(n)], v) for n, v in locator.items())))
 
 
 def _count() -> Any:

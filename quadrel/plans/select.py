@@ -177,7 +177,7 @@ class Select:
         return self.df().intersect(other.df())
 
     def except_(self, other: Select) -> DataFrame:
-        return self.df().exceptAll(other.df()).distinct()
+        return self.df().subtract(other.df())
 
     def _ref(self, c: Ref | str) -> Ref:
         return c if isinstance(c, Ref) else _named(self._plan, c)
@@ -241,10 +241,12 @@ def compile_select(db: Database, plan: SelectPlan) -> DataFrame:
         df, outputs = _grouped(plan, df, at)
         if plan.having is not None:
             df = df.filter(to_column(plan.having, lambda r: F.col(f"`{r.name}`") if r.alias is None else outputs(r)))
-        sort = [o.to_column(F.col(f"`{o.by}`") if isinstance(o.by, str) and o.by in df.columns else outputs(o.by if isinstance(o.by, Ref) else _named(plan, o.by))) for o in plan.order_by]
         hidden = [c for c in df.columns if c.startswith("_g__")]
-        if plan.distinct:
-            df = df.drop(*hidden).distinct() if not any(isinstance(o.by, Ref) for o in plan.order_by) else df.distinct()
+        if plan.distinct:  # over what is put out: a group key that nothing shows must not tell rows apart
+            df = df.drop(*hidden).distinct()
+            shown = {f"{r.alias}__{r.name}": n for n, f in (fields or {r.name: r for r in plan.group_by}).items() if isinstance(r := _named(plan, f) if isinstance(f, str) else f, Ref)}
+            return _page(_sorted(df, plan, shown), plan)
+        sort = [o.to_column(F.col(f"`{o.by}`") if isinstance(o.by, str) and o.by in df.columns else outputs(o.by if isinstance(o.by, Ref) else _named(plan, o.by))) for o in plan.order_by]
         return _page(df.orderBy(*sort) if sort else df, plan).drop(*hidden)
     if plan.having is not None:
         raise ValueError("having() needs group_by() or aggregates")
@@ -256,17 +258,7 @@ def compile_select(db: Database, plan: SelectPlan) -> DataFrame:
         out = [_project(db, plan, f, joined).alias(n) for n, f in fields.items()]
         names = {f"{r.alias}__{r.name}": n for n, f in fields.items() if isinstance(r := _named(plan, f) if isinstance(f, str) else f, Ref)}
     if plan.distinct:  # before the page; sorting is by what is put out
-        df = df.select(*out).distinct()
-
-        def stands(o: Order) -> SparkColumn:
-            if isinstance(o.by, str) and o.by in df.columns:
-                return F.col(f"`{o.by}`")
-            r = o.by if isinstance(o.by, Ref) else _named(plan, o.by)
-            if (name := names.get(f"{r.alias}__{r.name}")) is None:
-                raise ValueError("distinct() sorts by selected columns only")
-            return F.col(f"`{name}`")
-
-        return _page(df.orderBy(*(o.to_column(stands(o)) for o in plan.order_by)) if plan.order_by else df, plan)
+        return _page(_sorted(df.select(*out).distinct(), plan, names), plan)
     if plan.order_by:
 
         def place(o: Order) -> SparkColumn:
@@ -280,6 +272,20 @@ def compile_select(db: Database, plan: SelectPlan) -> DataFrame:
     return _page(df, plan).select(*out)
 
 
+def _sorted(df: DataFrame, plan: SelectPlan, shown: Mapping[str, str]) -> DataFrame:
+    """df in the plan's order, by what it puts out. shown: output name by alias__column."""
+
+    def stands(o: Order) -> SparkColumn:
+        if isinstance(o.by, str) and o.by in df.columns:
+            return F.col(f"`{o.by}`")
+        r = o.by if isinstance(o.by, Ref) else _named(plan, o.by)
+        if (name := shown.get(f"{r.alias}__{r.name}")) is None:
+            raise ValueError("distinct() sorts by selected columns only")
+        return F.col(f"`{name}`")
+
+    return df.orderBy(*(o.to_column(stands(o)) for o in plan.order_by)) if plan.order_by else df
+
+
 def _page(df: DataFrame, plan: SelectPlan) -> DataFrame:
     if plan.offset:
         df = df.offset(plan.offset)
