@@ -62,9 +62,9 @@ def _column(tree: Tree, features: list[str]) -> Column:
 
 
 def precise_threshold(raw: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The lowest score from which on at least this share is positive; infinite if there is none."""
+    """The lowest score from which on at least this share is positive; if there is none, the first above all scores."""
     order = np.argsort(-raw, kind="stable")
     share = y[order].cumsum() / np.arange(1, len(y) + 1)
     last = np.r_[raw[order][1:] < raw[order][:-1], True] if len(y) else np.zeros(0, bool)
     good = np.flatnonzero((share >= precision) & last)
-    return float(raw[order][good[-1]]) if len(good) else float("inf")
+    return float(raw[order][good[-1]]) if len(good) else float(np.nextafter(raw.max(), np.inf)) if len(y) else 0.0

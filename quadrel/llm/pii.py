@@ -1,13 +1,14 @@
 """Operator 9, PII: candidate spans judged by boosted trees. DataFrame functions only.
 
 Generators propose candidates of several kinds, overlaps included. Four base kinds have rules that decide
-alone; what they turn down and what the other generators propose goes to boosted trees on format and
-context, with a threshold for each kind set on held-out rows.
+alone for what they accept. Cards and phones that the rules turn down, and what the other generators propose,
+go to boosted trees on format and context. The trees are fitted on spans of made texts; the threshold of each
+kind is set on spans of texts from another grammar, which the trees have not seen. (Rules accept every email
+candidate, and an address with a part over 255 is none, so the trees have nothing to add to those kinds.)
 """
 
 from __future__ import annotations
 
-import random
 from functools import cache
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quadrel.llm.base import whole_text
 from quadrel.llm.boost import Boosted, precise_threshold
+from quadrel.llm.pii_rows import fit_rows, held_rows
 
 # The base patterns, by kind in the order of the output. Look-behinds (with \G, the end of
 # the last match) only keep the search from trying again inside a run, and possessive repeats keep Java from
@@ -26,14 +28,20 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What stands before an assigned value, to be cut off its candidate.
+_CUE = r"(?:password|passwd|passphrase|pass|pwd|secret|token|(?:api|access)[_-]?key)[\"']?\s*+[=:]\s*+[\"']?"
 GENERATED = {
-    "contact": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64} ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]{2,63}(?: ?(?:[\[(] ?(?:dot|DOT) ?[\])]|\.) ?[A-Za-z0-9-]{2,63}){1,4}",
+    "contact": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}+ ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]++(?:(?: ?[\[(] ?(?:dot|DOT) ?[\])] ?|\.)[A-Za-z0-9-]++)++",
     "number": r"(?<![0-9A-Za-z.+-])(?:\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9A-Za-z-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{12,}+",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",  # as long as IBANs get
+    "ip6": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:|:(?=:)|(?<=:):){2,7}(?:[0-9A-Fa-f]{1,4}|(?<=::))(?![0-9A-Za-z:])",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+",
+    "password": r"(?i)" + _CUE.removesuffix(r"[\"']?") + r"(?:\"[^\"\n]{6,}+(?=\")|'[^'\n]{6,}+(?=')|[^\s\"']{6,}+)",
 }
 PATTERNS = BASE | GENERATED
 KINDS = list(PATTERNS)
+#: Kinds that the trees judge.
+LEARNED = ["card", "phone", *GENERATED]
 #: A cheap sign without which a text holds no candidate of the kind.
 SIGNS = {
     "email": lambda t: F.contains(t, F.lit("@")),
@@ -43,39 +51,52 @@ SIGNS = {
     "contact": lambda t: t.rlike(r"[\[(] ?(?:at|AT)"),
     "number": lambda t: t.rlike(r"[0-9]{3}"),
     "iban": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"),
+    "ip6": lambda t: t.rlike(r"[0-9A-Fa-f:]:[0-9A-Fa-f:]"),
     "secret": lambda t: t.rlike(r"[0-9]"),
+    "password": lambda t: t.rlike(r"(?i)(?:pass|pwd|secret|token|key)[a-z]{0,6}[\"']?\s*+[=:]"),
 }
+#: Characters around a candidate that its features look at.
 BEFORE, AFTER = 24, 8
-CUES = r"(?i)(?:password|passwd|pwd|token|secret|api|key|phone|tel|call|mobile|mail|contact|card|visa|iban|account|ssn|social|ip|address)"
-FEATURES = ["kind", "size", "digits", "upper", "lower", "marks", "run", "hex", "luhn", "before_kind", "after_kind", "cue", "assigned", "variety"]
-#: Held-out precision that a kind's threshold must reach, and how many labelled rows are made.
-PRECISION, MADE, SEED = 0.99, 3000, 9
+CUES = {
+    "phone_cue": r"(?i)(?:phone|tel|call|mobile|cell|fax|ring)", "card_cue": r"(?i)(?:card|visa|amex|mastercard|credit)", "id_cue": r"(?i)(?:ssn|social|iban|account|bank)",
+    "key_cue": r"(?i)(?:password|passwd|pwd|passphrase|token|secret|api|key|auth)", "other_cue": r"(?i)(?:commit|sha|order|part|isbn|invoice|version|page|ticket|build|release|serial|uuid)",
+}
+SHAPE = ["size", "digits", "upper", "lower", "marks", "colons", "run", "hex", "luhn", "before_kind", "after_kind", "equals", "variety"]
+FEATURES = [f"is_{k}" for k in LEARNED] + SHAPE + list(CUES)
+#: Held-out precision that a kind's threshold must reach, and how many labelled texts are made for the trees and for the thresholds.
+PRECISION, MADE, HELD, SEED = 0.99, 3000, 2400, 9
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs' other columns, row (number of the row) and a row for each candidate: kind (index in KINDS), start, end, hit, before, after.
+    """A row for each candidate: kind (index in KINDS), start, end, hit, before, after; row, the number of the
+    row of docs, and rest, a struct of docs' other columns.
 
     Offsets are code points, end exclusive. Rows without candidates appear once, with kind null.
     """
-    text = F.col("_text")
-    rows = docs.withColumn("_text", whole_text(text_col)).drop(text_col).withColumn("row", F.monotonically_increasing_id())
+    text = F.col("text")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*others, *([] if others else [F.lit(0).alias("_")])).alias("rest"), whole_text(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
 
     def found(kind: str) -> Column:
         pattern = PATTERNS[kind]
         gap = F.transform(F.split(text, pattern, -1), lambda p: F.struct(F.char_length(p).alias("n"), F.right(p, F.lit(BEFORE)).alias("tail"), F.left(p, F.lit(AFTER)).alias("head")))
         hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         zipped = F.arrays_zip(hits.alias("hit"), gap.alias("gap"), F.slice(gap, 2, 1 << 30).alias("next"))
-        made = F.transform(
-            F.filter(zipped, lambda z: z["hit"].isNotNull()),
-            lambda z: F.struct(F.lit(KINDS.index(kind)).alias("kind"), z["gap"]["n"].alias("gap"), z["hit"].alias("hit"), z["gap"]["tail"].alias("before"), z["next"]["head"].alias("after")),
-        )
-        return F.when(SIGNS[kind](text), made).otherwise(F.array().cast("array<struct<kind:int,gap:int,hit:string,before:string,after:string>>"))
-
-    keep = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    out = rows.select(*keep, "row", F.posexplode_outer(F.concat(*map(found, KINDS))).alias("pos", "c")).select(*keep, "row", "pos", "c.*")
+
+        def one(z: Column) -> Column:
+            hit, tail = z["hit"], z["gap"]["tail"]
+            if kind == "password":  # the cue goes to what stands before
+                cue = F.regexp_extract(hit, "(?i)^" + _CUE, 0)
+                hit, tail = F.substring(hit, F.char_length(cue) + 1, F.char_length(hit)), F.right(F.concat(tail, cue), F.lit(BEFORE))
+            return F.struct(F.lit(KINDS.index(kind)).alias("kind"), (z["gap"]["n"] + F.char_length(z["hit"])).alias("step"), hit.alias("hit"), tail.alias("before"), z["next"]["head"].alias("after"))
+
+        made = F.transform(F.filter(zipped, lambda z: z["hit"].isNotNull()), one)
+        return F.when(SIGNS[kind](text), made).otherwise(F.array().cast("array<struct<kind:int,step:int,hit:string,before:string,after:string>>"))
+
+    out = rows.select("rest", "row", F.posexplode_outer(F.concat(*map(found, KINDS))).alias("pos", "c")).select("rest", "row", "pos", "c.*")
     so_far = Window.partitionBy("row", "kind").orderBy("pos")
-    end = F.sum(F.col("gap") + F.char_length("hit")).over(so_far)
-    return out.withColumn("end", end).withColumn("start", F.col("end") - F.char_length("hit")).drop("gap", "pos")
+    out = out.repartition("row").withColumn("end", F.sum("step").over(so_far))  # one exchange for all that follows
+    return out.withColumn("start", F.col("end") - F.char_length("hit")).drop("step", "pos")
 
 
 def luhn(digits: Column) -> Column:
@@ -105,93 +126,75 @@ def with_features(rows: DataFrame) -> DataFrame:
     side = lambda c: F.when(c == "", 0).when(c.rlike(r"^\s"), 1).when(c.rlike("^[0-9]"), 2).when(c.rlike(r"^\p{L}"), 3).otherwise(4)
     long_enough = F.char_length(digits).between(12, 19)
     made = {
-        "size": size, "digits": F.char_length(digits), "upper": count("[A-Z]"), "lower": count("[a-z]"), "marks": count("[^A-Za-z0-9]"),
+        **{f"is_{k}": (F.col("kind") == KINDS.index(k)).cast("int") for k in LEARNED},
+        "size": size, "digits": F.char_length(digits), "upper": count("[A-Z]"), "lower": count("[a-z]"), "marks": count("[^A-Za-z0-9]"), "colons": count(":"),
         "run": F.array_max(F.transform(F.split("hit", "[^0-9]"), lambda p: F.char_length(p))),
         "hex": hit.rlike(r"^[0-9a-f]+\z").cast("int"), "luhn": F.when(long_enough, luhn(digits).cast("int")).otherwise(0),
         "before_kind": side(F.right("before", F.lit(1))), "after_kind": side(F.left("after", F.lit(1))),
-        "cue": F.col("before").rlike(CUES).cast("int"), "assigned": F.col("before").rlike(r"(?i)(?:password|passwd|pwd|token|secret|key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?\z").cast("int"),
+        "equals": F.when(F.col("before").rlike(r"=\s*[\"']?\z"), 2).when(F.col("before").rlike(r":\s*[\"']?\z"), 1).otherwise(0),
         "variety": F.size(F.array_distinct(F.split("hit", ""))),
+        **{name: F.col("before").rlike(pattern).cast("int") for name, pattern in CUES.items()},
     }
     return rows.withColumns({k: v.cast("double") for k, v in made.items()})
 
 
-def made_rows(n: int = MADE, seed: int = SEED) -> list[tuple[int, str, int]]:
-    """Labelled texts, each around one thing that is (1) or isn't (0) personal or secret."""
-    draw = random.Random(seed)
-    pick = lambda chars, n: "".join(draw.choices(chars, k=n))
-    num, low, hexa, mixed = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-    words = lambda: " ".join(pick(low, draw.randint(2, 9)) for _ in range(draw.randint(2, 8)))
-    some = lambda *x: draw.choice(x)
-
-    def yes() -> str:
-        return draw.choice([
-            lambda: some("password=", "pwd: ", "token = \"", "secret: ", "api_key=", "access key: ") + some(pick(hexa, draw.randint(16, 40)), pick(low + num, draw.randint(12, 32)) + pick(num, 2)),
-            lambda: "AKIA" + pick(mixed, 14) + pick(num, 2),
-            lambda: some("phone ", "call ", "tel: ", "mobile ", "") + f"({pick(num, 3)}) {pick(num, 3)}-{pick(num, 4)}",
-            lambda: some("phone ", "call ", "tel. ") + f"{pick(num, 3)}{some('-', '.', ' ')}{pick(num, 3)}-{pick(num, 4)}",
-            lambda: some("ssn ", "social security ") + f"{pick(num, 3)}-{pick(num, 2)}-{pick(num, 4)}",
-            lambda: some("iban ", "account ") + some("DE", "FR", "GB", "ES") + pick(num, 2) + "".join(" " + pick(num, 4) for _ in range(4)) + " " + pick(num, 2),
-            lambda: f"{pick(low, 6)}.{pick(low, 4)} {some('(at)', '[at]', '(AT)')} {pick(low, 6)} {some('(dot)', '[dot]', '(DOT)')} {some('com', 'org', 'net')}",
-        ])()
-
-    def no() -> str:
-        return draw.choice([
-            lambda: some("commit ", "sha ", "id ", "") + pick(hexa, 40), lambda: some("order ", "part ", "isbn ", "") + pick(num, draw.randint(12, 20)),
-            lambda: f"{pick(num, 4)}-{pick(num, 2)}-{pick(num, 2)}", lambda: f"{pick(low, 8)}-{pick(low, 6)}-{pick(num, 2)}", lambda: f"version {pick(num, 3)}.{pick(num, 3)}.{pick(num, 4)}",
-            lambda: f"{pick(num, 3)} {pick(num, 3)} {pick(num, 4)}", lambda: f"/usr/lib/{pick(low, 8)}/{pick(low, 5)}{pick(num, 2)}", lambda: f"{pick(num, 3)}.{pick(num, 3)}.{pick(num, 3)}.{pick(num, 4)}",
-            lambda: f"{pick(num, 4)} {pick(num, 4)} {pick(num, 4)} {pick(num, 4)}", lambda: f"+{pick(num, 2)} {pick(num, 3)}", lambda: f"{pick(low, 12)}{pick(num, 1)}", lambda: f"{some('page', 'fig', 'no')} {pick(num, 3)}-{pick(num, 2)}",
-        ])()
-
-    return [(k, f"{words()} {yes() if k % 2 else no()} {words()}", k % 2) for k in range(n)]
+def judged(rows: list[tuple[int, str, list[tuple[str, int, int]]]], spark: SparkSession) -> np.ndarray:
+    """For each candidate of labelled texts that the trees may judge: text, kind, whether it is one of the text's spans, FEATURES.
+
+    What is assigned to a cue may be a secret as well as a password: one word for it is as good as the other.
+    """
+    kind = "array<struct<name:string,start:int,end:int>>"
+    made = spark.createDataFrame(rows, f"id long, text string, spans {kind}")
+    names = F.array(*map(F.lit, KINDS))
+    alike = lambda name: F.when(name == "password", "secret").otherwise(name)
+    true = F.exists("rest.spans", lambda s: (alike(s["name"]) == alike(F.element_at(names, F.col("kind") + 1))) & (s["start"] == F.col("start")) & (s["end"] == F.col("end")))
+    found = with_features(candidates(made).filter(F.col("kind").isin([KINDS.index(k) for k in LEARNED]))).filter(~base_valid())
+    found = found.select(F.col("rest.id").alias("id"), "kind", true.cast("int").alias("true"), *FEATURES).orderBy("id", "kind", *FEATURES)
+    return np.array(found.collect(), float).reshape(-1, 3 + len(FEATURES))  # a few rows for each made text
 
 
 @cache
-def _fitted(n: int, seed: int, session: str) -> tuple[Boosted, dict[int, float]]:
+def _fitted(session: str) -> tuple[Boosted, dict[int, float]]:
     spark = SparkSession.getActiveSession()
-    made = spark.createDataFrame(made_rows(n, seed), "id long, text string, label int")
-    rows = with_features(candidates(made).filter("kind is not null")).filter(~base_valid())
-    table = np.array(rows.select("id", "label", *[F.col(f).cast("double") for f in FEATURES]).orderBy("id", *FEATURES).collect(), float)  # a few rows for each made text
-    held, y, x = table[:, 0] % 6 < 2, table[:, 1], table[:, 2:]
-    trees = Boosted(x[~held], y[~held])
-    raw = trees.raw(x)
-    return trees, {k: precise_threshold(raw[held & (x[:, 0] == k)], y[held & (x[:, 0] == k)], PRECISION) for k in range(len(KINDS))}
+    fit, held = judged(fit_rows(MADE, SEED), spark), judged(held_rows(HELD, SEED + 1), spark)
+    trees = Boosted(fit[:, 3:], fit[:, 2], trees=24, depth=4)
+    raw = trees.raw(held[:, 3:])
+    return trees, {KINDS.index(k): precise_threshold(raw[own := held[:, 1] == KINDS.index(k)], held[own, 2], PRECISION) for k in LEARNED}
 
 
 def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """candidates() with base, added and name: base spans, and those that the trees add outside them.
+    """candidates() with base, added and name: base spans, and those that the trees add.
 
-    An added span touches no base span and no added span that begins before it.
+    An added span lies inside no base span and no other added one (of equal ones the first kind of KINDS stays). It may
+    hold base spans or overlap others in part: both are listed, so nothing that the trees find is left out.
     """
-    trees, limits = _fitted(MADE, SEED, docs.sparkSession.sparkContext.applicationId)
+    trees, limits = _fitted(docs.sparkSession.sparkContext.applicationId)
     rows = with_features(candidates(docs, text_col)).withColumn("base", F.col("kind").isNotNull() & base_valid())
-    limit = F.element_at(F.array(*(F.lit(limits[k]) for k in range(len(KINDS)))), F.col("kind") + 1)
-    rows = rows.withColumn("proposed", F.col("kind").isNotNull() & ~F.col("base") & (trees.column(FEATURES) >= limit))
-    ordered = Window.partitionBy("row").orderBy("start", F.desc("end"), "kind")
-    backward = Window.partitionBy("row").orderBy(F.desc("start"), "end", F.desc("kind"))  # a frame up to the end would cost the square of a text's candidates
-    before, after = ordered.rowsBetween(Window.unboundedPreceding, -1), backward.rowsBetween(Window.unboundedPreceding, -1)
-    taken = F.max(F.when(F.col("base") | F.col("proposed"), F.col("end"))).over(before)
-    base_next = F.min(F.when(F.col("base"), F.col("start"))).over(after)
-    clear = (F.coalesce(taken, F.lit(0)) <= F.col("start")) & (F.coalesce(base_next, F.col("end")) >= F.col("end"))
-    rows = rows.withColumn("added", F.col("proposed") & clear)
-    return rows.withColumn("name", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)).drop(*FEATURES[1:], "proposed")
+    limit = F.element_at(F.create_map(*(F.lit(x) for pair in limits.items() for x in pair)), F.col("kind"))
+    rows = rows.withColumn("proposed", F.coalesce(F.col("kind").isNotNull() & ~F.col("base") & (trees.column(FEATURES) >= limit), F.lit(False)))
+    before = Window.partitionBy("row").orderBy("start", F.desc("end"), F.desc("base"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.coalesce(F.max(F.when(F.col("base") | F.col("proposed"), F.col("end"))).over(before), F.lit(0))
+    rows = rows.withColumn("added", F.col("proposed") & (reach < F.col("end")))
+    return rows.withColumn("name", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)).drop(*FEATURES, "proposed")
 
 
 def digest(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row for each row of docs: its other columns, n_email, n_ip, n_card, n_phone (base), base_list and span_list.
 
     The lists hold structs kind, start, end, name in the order of KINDS, then start. Null and empty texts
-    have no spans. Repeated rows are searched each on its own.
+    have no spans. Texts are searched whole, however long. Repeated rows are searched each on its own; an empty
+    table gives no rows. Other columns may have any names but those of the results, which take their place.
     """
-    rest = [c for c in docs.columns if c != text_col]
+    made = [*(f"n_{k}" for k in BASE), "base_list", "span_list"]
+    others = [c for c in docs.columns if c != text_col and c not in made]
     item = F.struct("kind", "start", "end", "name")
     count = lambda k: F.count(F.when(F.col("base") & (F.col("kind") == k), 1))
-    return (
-        spans(docs, text_col).groupBy("row").agg(
-            *(F.first(f"`{c}`").alias(c) for c in rest), *(count(k).alias(f"n_{name}") for k, name in enumerate(BASE)),
-            F.array_sort(F.collect_list(F.when(F.col("base"), item))).alias("base_list"),
-            F.array_sort(F.collect_list(F.when(F.col("base") | F.col("added"), item))).alias("span_list"),
-        )
+    found = spans(docs, text_col).groupBy("row").agg(
+        F.first("rest").alias("rest"), *(count(k).alias(f"n_{name}") for k, name in enumerate(BASE)),
+        F.array_sort(F.collect_list(F.when(F.col("base"), item))).alias("base_list"),
+        F.array_sort(F.collect_list(F.when(F.col("base") | F.col("added"), item))).alias("span_list"),
     )
+    return found.select(*(F.col(f"rest.`{c}`") for c in others), *made)
 
 
 def listed(column: str) -> Column:
@@ -200,15 +203,26 @@ def listed(column: str) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with every span of the text replaced by its kind in brackets. Null text stays null."""
-    marked = docs.withColumn("__mark", F.xxhash64(text_col))
-    found = digest(marked.select(F.col(id_col).alias("__id"), "__mark", F.col(text_col).alias("__text")), "__text")
-    found = found.filter(F.size("span_list") > 0).select("__id", F.col("__mark").alias("__own"), "span_list").dropDuplicates(["__id", "__own"])
-    cuts = F.array_sort(F.transform("span_list", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["name"].alias("name"))))
-    joined = marked.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__own")), "left").withColumn("__cuts", cuts)
-    text, last = F.col(text_col), F.element_at("__cuts", -1)["end"]
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("__cuts", lambda s: s["end"]))
-    zipped = F.filter(F.arrays_zip(F.col("__cuts").alias("s"), ends.alias("from")), lambda z: z["s"].isNotNull())
-    head = F.transform(zipped, lambda z: F.concat(F.substring(text, (z["from"] + 1).cast("int"), F.greatest(z["s"]["start"] - z["from"], F.lit(0)).cast("int")), F.lit("["), F.upper(z["s"]["name"]), F.lit("]")))
-    whole = F.concat(F.array_join(head, ""), F.substring(text, (last + 1).cast("int"), F.lit(1 << 30)))
-    return joined.withColumn(text_col, F.when(F.col("__cuts").isNull(), text).otherwise(whole)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """docs, all columns, with every span of the text replaced by its kind in brackets.
+
+    Spans that overlap go as one, named after the longest of them (of equal ones the first kind). Null text stays null, empty and
+    clean texts stay as they are; repeated rows stay and are treated alike; a null id is an id like others;
+    an empty table gives no rows. Other columns, whatever their names, are passed on.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("rest"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    found = spans(rows.select("id", "mark", "text")).filter("base or added").withColumn("size", F.col("end") - F.col("start"))
+    order = Window.partitionBy("row").orderBy("start", F.desc("end"), "kind")
+    apart = F.coalesce(F.col("start") >= F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    found = found.withColumn("apart", apart).withColumn("island", F.sum(F.col("apart").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = found.groupBy("row", "island").agg(F.first("rest").alias("rest"), F.min("start").alias("start"), F.max("end").alias("end"), F.max_by("name", F.struct("size", -F.col("kind"))).alias("name"))
+    cuts = whole.groupBy("row").agg(F.first("rest").alias("found"), F.array_sort(F.collect_list(F.struct("start", "end", "name"))).alias("cuts"))
+    cuts = cuts.select(F.col("found.id").alias("own"), F.col("found.mark").alias("own_mark"), "cuts").dropDuplicates(["own", "own_mark"])
+    joined = rows.join(cuts, F.col("id").eqNullSafe(F.col("own")) & (F.col("mark") == F.col("own_mark")), "left")
+    text, last = F.col("text"), F.element_at("cuts", -1)["end"]
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("cuts", lambda s: s["end"]))
+    zipped = F.filter(F.arrays_zip(F.col("cuts").alias("s"), ends.alias("from")), lambda z: z["s"].isNotNull())
+    head = F.transform(zipped, lambda z: F.concat(F.substring(text, (z["from"] + 1).cast("int"), (z["s"]["start"] - z["from"]).cast("int")), F.lit("["), F.upper(z["s"]["name"]), F.lit("]")))
+    clean = F.concat(F.array_join(head, ""), F.substring(text, (last + 1).cast("int"), F.lit(1 << 30)))
+    clean = F.when(F.col("cuts").isNull(), text).otherwise(clean)
+    return joined.select(*(clean.alias(c) if c == text_col else F.col(f"rest.`{c}`") for c in docs.columns))
