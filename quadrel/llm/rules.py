@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrel.llm.base import written
 
-#: At most so many labelled documents, those with the lowest hash of their id, fit the forest; all labelled rows set its threshold.
+#: Labelled documents go by a hash of their id to one of two halves. At most so many of one half, those with the lowest hashes,
+#: fit the forest; all of the other half, which the forest has not seen, set its threshold.
 SAMPLE = 4096
 TREES, PER_TREE, SEED = 128, 256, 10
 #: Scores are counted in so many bands.
@@ -141,14 +142,24 @@ class Rules:
         return self.forest.score(features(stats)) if self.forest and len(stats) else np.zeros(len(stats))
 
 
+def held_out() -> Column:
+    """Whether a label's document is of the half that sets the threshold."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(2)) == 1
+
+
 def _stats_of(texts: pa.Array) -> np.ndarray:
     return np.array([statistics(t) for t in texts.to_pylist()], float).reshape(len(texts), 7)
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Rules:
-    """Fits the forest on at most `sample` labelled documents, those whose ids have the lowest hashes, and its threshold on all labelled rows."""
-    marks = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().dropDuplicates(["doc_id"])
-    chosen = marks.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    """Fits the forest on at most `sample` labelled documents of one half, and its threshold on all labelled rows of the other.
+
+    The threshold costs bad documents that pass and good ones that go alike. Labels without id or quality say
+    nothing, of several for one id one counts; ids that docs lack are ignored. Without rows in the one half nothing
+    is anomalous, without good ones in the other neither.
+    """
+    marks = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().dropDuplicates(["doc_id"]).withColumn("held", held_out())
+    chosen = marks.filter("not held").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     some = texts.join(F.broadcast(chosen), "doc_id")  # at most `sample` ids
     kind, names = "doc_id " + dict(docs.dtypes)["doc_id"], [f"s{i}" for i in range(7)]
@@ -169,7 +180,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Rules
             yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"].filter(pa.array(passed)), "score": rules.anomaly(s[passed])})
 
     if rules.forest:
-        scored = texts.mapInArrow(score, kind + ", score double").join(marks, "doc_id")  # scores are joined, never texts
+        scored = texts.mapInArrow(score, kind + ", score double").join(marks.filter("held"), "doc_id")  # scores are joined, never texts
         rules.threshold = best_threshold(scored.select("score", "quality"))
     return rules
 
@@ -197,6 +208,9 @@ def judge(docs: DataFrame, rules: Rules, carry: tuple[str, ...] = ("doc_id",), p
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, all columns."""
+    """The rows of docs that the rules keep, all columns, whatever their names but for those that begin with __.
+
+    Null and empty texts go; repeated rows are judged alike; an empty table gives no rows.
+    """
     judged = judge(docs, fit_rules(docs, labels), tuple(docs.columns), "__")
     return judged.filter("__kept").select(*(F.col(f"`{c}`") for c in docs.columns))
