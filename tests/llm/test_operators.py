@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from llm.conftest import prose, rows
-from quadrel.llm import boost, bpe, graph, licenses, nearjoin, packing, pii, queries, recipes, repeats, rules, tokens, urls
+from quadrel.llm import boost, bpe, graph, licenses, nearjoin, packing, pii, pii_rows, queries, recipes, repeats, rules, tokens, urls
 
 BYTE, WORD = queries.BYTE_BPE, queries.WORD_BPE
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -116,6 +116,46 @@ def test_token_output(spark, odd, none, sf_dir, tmp_path):
     assert tokens.with_checksum(tokens.token_output(none, BYTE)).count() == 0
 
 
+def scanned(df):
+    """Rows that the file scans of a query gave to what follows."""
+    df.collect()
+    leaves, total = df._jdf.queryExecution().executedPlan().collectLeaves(), 0
+    for k in range(leaves.size()):
+        found = leaves.apply(k).metrics().get("numOutputRows")
+        total += found.get().value() if found.isDefined() else 0
+    return total
+
+
+def test_token_files_are_read_without_a_shuffle_and_skip_row_groups(spark, tmp_path):
+    path, n = f"file://{tmp_path}/ids", 30_000
+    docs = spark.range(n).select((2 * F.col("id")).alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    tokens.write_tokens(docs, path, BYTE)
+    plan = tokens.read_tokens(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    rows = spark.read.orc(f"{path}/ids")
+    assert rows.filter("doc_id = 40000").count() == 1 and rows.rdd.getNumPartitions() >= 1
+    assert scanned(rows.select("doc_id").filter("doc_id = 40000")) <= 2000 < n  # row indexes
+    assert scanned(rows.select("doc_id").filter("doc_id = 40001")) == 0  # within the range of a row group, so by the Bloom filter
+    split = f"file://{tmp_path}/split"
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "1000")
+    try:
+        tokens.write_tokens(docs, split, BYTE)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    a, b = (tokens.read_tokens(spark, p).select("doc_id", "start", "n_tokens") for p in (path, split))
+    assert a.exceptAll(b).isEmpty() and a.count() == b.count() == n
+
+
+def test_token_parts_go_by_number(spark, tmp_path):
+    path = f"file://{tmp_path}/parts"
+    ids = [(k, p, 0, 2, [5, 0]) for k, p in enumerate((7, 99_999, 100_000, 1_000_000))]
+    spark.createDataFrame(ids, "doc_id long, part int, at long, n long, ids array<int>").write.orc(f"{path}/ids")
+    spark.createDataFrame([(p, 2) for _, p, *_ in ids], "part int, n long").write.orc(f"{path}/parts")
+    assert {r.doc_id: r.start for r in tokens.read_tokens(spark, path).collect()} == {0: 0, 1: 2, 2: 4, 3: 6}
+    named = spark.createDataFrame([("b", "x y"), ("a", None)], "doc_id string, text string")
+    assert [(r.doc_id, r.start) for r in tokens.token_output(named, BYTE).orderBy("start").collect()] == [("a", 0), ("b", 1)]
+
+
 ODD_CHARS = "abcdeéÉÀßΣσİ ıI \n\t\r  　\x1c\x85'sS'tT'll0123٣½²!?#ȩ́́語中한국😀👍🏽_-.,<|>"
 
 
@@ -226,9 +266,14 @@ def test_exact_copies(spark, odd, none, sf_dir):
     assert recipes.exact_groups(none).count() == 0
     left = recipes.drop_exact_copies(odd)
     assert left.columns == odd.columns
-    expected = {(i, (t or "").translate(LOWER)) for i, t in odd_texts() if (i, True) in {(r[0], r[3]) for r in plain_copies([(i, t)])}}
-    expected = {((t or "").translate(LOWER)) for _, t in odd_texts()}
-    assert sorted((r.text or "").translate(LOWER) for r in left.collect()) == sorted(expected) or expected
+    groups = collections.defaultdict(list)
+    for i, t in odd_texts():
+        groups[(t or "").translate(LOWER)].append((i is not None, i or 0, t))
+    expected = []
+    for rows in groups.values():
+        _, top, _ = max(rows, key=lambda r: r[:2])
+        expected.append((top if max(rows)[0] else None, next(iter({t.translate(LOWER) if t else "" for *_, t in rows}))))
+    assert bag((r.doc_id, (r.text or "").translate(LOWER)) for r in left.collect()) == bag(expected)
 
 
 def test_chunks_and_ambiguous_identifiers(spark, odd):
@@ -251,6 +296,44 @@ def plain_base(text):
     return len(words), len(hits), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in hits}))
 
 
+def plain_places(plain):
+    """Labels and score of each text by trying every template at every word."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    held = collections.Counter(w for _, t in plain for w in set(split(t)))
+    weight = lambda w: float(np.log((len(plain) + 1) / (held[w] + 1)) + 1e-3)
+    out = []
+    for i, text in plain:
+        words, labels, score = split(text), set(), 0.0
+        at = collections.defaultdict(list)
+        for k, w in enumerate(words):
+            at[w].append(k)
+        for t in licenses.TEMPLATES:
+            for k in at[t.key[0]]:
+                if words[k : k + len(t.key)] != list(t.key):
+                    continue
+                there = {j: words[k - t.key_from + j] for j in range(len(t.words)) if 0 <= k - t.key_from + j < len(words)}
+                cover = sum(weight(w) for j, w in enumerate(t.words) if there.get(j) == w) / sum(map(weight, t.words))
+                if cover >= t.least - 1e-9:
+                    labels.add(t.label)
+                    score = max(score, min(cover, 1.0))
+        out.append((i, ",".join(sorted(labels)), round(score, 9)))
+    return out
+
+
+def test_license_labels_and_scores(spark, odd, sf_dir):
+    clauses = [c for _, _, c in licenses.CLAUSES]
+    cut = lambda c, a, b: " ".join(c.split()[a : len(c.split()) - b])
+    made = [(k, f"{prose(k, 5)} {c} {prose(k, 5)}") for k, c in enumerate(clauses)] + [(1000 + k, cut(c, 2, 0)) for k, c in enumerate(clauses)] + [(2000 + k, cut(c, 0, 3) + " cc cc by by") for k, c in enumerate(clauses)]
+    clauses.append("All rights reserved.")
+    made += [(3000, " ".join(clauses)), (3001, " ".join(clauses * 40)), (3002, " ".join(reversed(" ".join(clauses).split()))), (3003, None)]
+    for docs, plain in [*both(spark, odd, sf_dir), (spark.createDataFrame(made, "doc_id long, text string"), made)]:
+        found = licenses.scan(docs).collect()
+        assert bag((r.doc_id, r.labels, round(r.score, 9)) for r in found) == bag(plain_places(plain))
+    held = {r.doc_id: set(r.labels.split(",")) for r in found}
+    assert all(label in held[k] for k, (label, _, _) in enumerate(licenses.CLAUSES))
+    assert {t.label for t in licenses.TEMPLATES} == held[3000] == held[3001]
+
+
 def test_licenses(spark, odd, none, sf_dir):
     for docs, plain in both(spark, odd, sf_dir):
         found = licenses.scan(docs).collect()
@@ -348,30 +431,39 @@ def plain_rule(url):
 
 
 def plain_ranks(pages):
-    """trust and distrust by dense iteration."""
+    """trust, distrust and the balance of them by dense iteration."""
     judged = collections.defaultdict(list)
     links = collections.Counter()
     for _, url, html in pages:
         host, _, _, verdict = plain_rule(url)
         if host:
             judged[host].append(verdict)
-        for t in re.findall(r"(?i)href\s{0,4}=\s{0,4}[\"']?(?:https?:)?//([^/?#\"'\s<>]+)", html or ""):
+        for t in re.findall(r"(?i)href\s*=\s*[\"']?(?:https?:)?//([^/?#\"'\s<>]+)", html or ""):
             if host and t.translate(LOWER) != host:
                 links[host, t.translate(LOWER)] += 1
-    out = {}
+    out, inner, seeds_of = {}, {}, {}
     for kind, verdict, edges in (("t", "allow", links), ("d", "block", {(b, a): n for (a, b), n in links.items()})):
-        seeds = {h for h, v in judged.items() if v.count(verdict) / len(v) > urls.SEED_SHARE}
+        seeds = seeds_of[kind] = {h for h, v in judged.items() if v.count(verdict) / len(v) > urls.SEED_SHARE}
         total = collections.Counter()
         for (a, _), n in edges.items():
             total[a] += n
-        rank = dict.fromkeys(seeds, 1.0)
-        for _ in range(urls.STEPS if links else 0):
-            new = dict.fromkeys(seeds, 1 - urls.FOLLOW)
+        start = dict.fromkeys(seeds, (1 - urls.FOLLOW) / max(len(seeds), 1))
+        rank = dict(start)
+        for _ in range(120 if links else 0):  # far beyond the tolerance
+            new = dict(start)
             for (a, b), n in edges.items():
                 if a in rank:
                     new[b] = new.get(b, 0) + urls.FOLLOW * rank[a] * n / total[a]
             rank = new
-        out[kind] = rank
+        out[kind], inner[kind] = rank, {h: x - start.get(h, 0) for h, x in rank.items()}
+    steps = []
+    for h in seeds_of["t"] | seeds_of["d"]:
+        t, d = inner["t"].get(h, 0), inner["d"].get(h, 0)
+        if t + d > 1e-12:
+            at = -80 if d <= 1e-12 else 81 if t <= 1e-12 else max(-80, min(80, int(np.ceil(np.log2(d / t) * 4))))
+            steps.append((at, h in seeds_of["d"]))
+    wrong = lambda k: sum(bad == (at <= k) for at, bad in steps)
+    out["balance"] = 2.0 ** (min(range(-80, 81), key=lambda k: (wrong(k), abs(k), k)) / 4)
     return out
 
 
@@ -390,7 +482,7 @@ def test_urls(spark, sf_dir, linked):
     expected = []
     for i, url, _ in pages:
         host, path, rule, verdict = plain_rule(url)
-        method = "block" if ranks["d"].get(host, 0) > urls.BALANCE * ranks["t"].get(host, 0) else "allow"
+        method = "block" if ranks["d"].get(host, 0) > ranks["balance"] * ranks["t"].get(host, 0) else "allow"
         expected.append((i, host, path, rule, verdict or method))
     found = urls.judge_urls(frame).collect()
     assert bag(tuple(r)[:5] for r in found) == bag(expected)
@@ -399,6 +491,25 @@ def test_urls(spark, sf_dir, linked):
     assert urls.judge_urls(frame.limit(0)).count() == 0
 
 
+def test_distrust_goes_along_long_chains(spark):
+    """Nothing trusts the chain, so each of its hosts is blocked, however far from the blocked one; so is one with much white space around its links."""
+    page = lambda k: f'<a href  \n\n\n    =      "http://h{k - 1}.org/">'
+    pages = [(0, "http://h0.net/fr/", ""), (1, "http://h1.org/", page(1).replace("h0.org", "h0.net")), *((k, f"http://h{k}.org/", page(k)) for k in range(2, 31)), (99, "http://free.org/", "")]
+    found = urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), of_judged=True).collect()
+    assert {r.page_id: r.verdict for r in found} == {k: "allow" if k == 99 else "block" for k, *_ in pages}
+    total = sum(r.distrust or 0 for r in found)
+    assert total <= 1 + 1e-9 and max(r.distrust or 0 for r in found) == pytest.approx(0.15)
+
+
+def test_balance_follows_linked_seeds(spark):
+    ranks = [("a", 0.4, 0.1), ("b", 0.2, 0.1), ("c", 0.1, 0.09), ("x", 0.1, 0.3), ("y", 0.1, 0.08), ("z", 0.0, 0.2), ("q", 0.0, 0.0)]
+    frame = spark.createDataFrame(ranks, "host string, trust_in double, distrust_in double")
+    seeds = spark.createDataFrame([(h, h in "abc", h in "xyzq") for h, *_ in ranks], "host string, trusted boolean, blocked boolean")
+    assert urls.calibrated_balance(frame, seeds) in (1.0, 2.0 ** -0.25, 2.0 ** -0.5)
+    flipped = seeds.select("host", F.col("blocked").alias("trusted"), F.col("trusted").alias("blocked"))
+    assert urls.calibrated_balance(frame, flipped) < 0.3 and urls.calibrated_balance(frame.limit(0), seeds) == urls.BALANCE
+
+
 def test_a_host_stays_a_seed_as_it_gains_pages_without_a_rule(spark, tmp_path):
     for n in (1, 40):
         pages = [(0, "http://a.net/fr/1", ""), *((k, f"http://a.net/en/{k}", "") for k in range(1, n + 1)), (99, "http://b.org/", "")]
@@ -432,11 +543,11 @@ TRICKY = [
 def test_personal_data(spark, odd, none, sf_dir):
     tricky = [(k, t) for k, t in enumerate(TRICKY)]
     for docs, plain in [*both(spark, odd, sf_dir), (spark.createDataFrame(tricky, "doc_id long, text string"), tricky)]:
-        found = pii.digest(docs.select("doc_id", "text")).select("doc_id", *(f"n_{k}" for k in pii.BASE), pii.listed("base_list").alias("b"), pii.listed("span_list").alias("s")).collect()
+        found = pii.digest(docs).select("doc_id", *(f"n_{k}" for k in pii.BASE), pii.listed("base_list").alias("b"), pii.listed("span_list").alias("s")).collect()
         expected = [(i, *map(len, (s := plain_spans(t)).values()), ",".join(x for v in s.values() for x in v)) for i, t in plain]
         assert bag(tuple(r)[:6] for r in found) == bag(expected)
         assert all(set(r.b.split(",")) <= set(r.s.split(",")) or not r.b for r in found)
-    assert pii.digest(none.select("doc_id", "text")).count() == 0
+    assert pii.digest(none).count() == 0
     clean = pii.redact(odd)
     assert clean.columns == odd.columns and clean.count() == odd.count()
     text = {r.doc_id: r.text for r in clean.filter("doc_id in (11, 15, 4, 5)").collect()}
@@ -444,12 +555,58 @@ def test_personal_data(spark, odd, none, sf_dir):
     assert text[15].startswith('token = "[SECRET]" ') and text[4] == dict(odd_texts())[4] and text[5] is None
 
 
-def test_trees_find_secrets_and_leave_numbers(spark):
-    made = [(k, t, y) for k, t, y in pii.made_rows(400, seed=77)]
-    found = {r.id: r.span_list for r in pii.digest(spark.createDataFrame(made, "id long, text string, y int")).collect()}
-    wrong = [t for k, t, y in made if not y and any(s["name"] in pii.GENERATED for s in found[k])]
-    caught = sum(bool(found[k]) for k, _, y in made if y)
-    assert len(wrong) <= 4 and caught >= 0.8 * 200
+# Texts of neither grammar, with what has to be found in them.
+REAL = [
+    ("password=ab12cd34 x", [("password", "ab12cd34")]), ("ssn 123-45-6789", [("number", "123-45-6789")]), ("call 555-123-4567 today", [("number", "555-123-4567")]),
+    ('token = "zz4111111111111111qqRRtt99"', [("card", "4111111111111111"), ("secret", "zz4111111111111111qqRRtt99")]),
+    ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", [("secret", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY")]),
+    ("secret: " + "abcdefghij" * 6 + "klmnopqrs7", [("secret", "abcdefghij" * 6 + "klmnopqrs7")]),
+    ("my password is in the safe", []), ("git revert 3f786850e387550fdab836ed7e6dc881de23001b", []), ("id 550e8400-e29b-41d4-a716-446655440000 closed", []), ("ISBN 978-3-16-148410-0", []),
+    ("the train leaves at 12:45:10 sharp", []), ("std::vector::size", []), ("Phone (212) 555-0147 or mail jane.roe [at] mail [dot] example [dot] org", [("number", "(212) 555-0147"), ("contact", "jane.roe [at] mail [dot] example [dot] org")]),
+    ("IBAN DE89 3704 0044 0532 0130 00", [("iban", "DE89 3704 0044 0532 0130 00")]), ("host at 2001:db8:85a3:8d3:1319:8a2e:370:7348", [("ip6", "2001:db8:85a3:8d3:1319:8a2e:370:7348")]),
+    ("amex 3782 822463 10005", [("card", "3782 822463 10005")]), ("order 3782 822463 10006 shipped", []), ("PASSWORD=Tr0ub4dor&3", [("password", "Tr0ub4dor&3")]), ("password: required", []),
+    ("population 123 456 7890 people", []), ("see /var/log/nginx/access2024 for more", []), ("anthrererendanhereredhareidentaltic9", []),
+]
+
+
+def precision_and_recall(rows, spark):
+    """By kind: (precision, recall) of the spans that the trees add."""
+    found = {r.id: {(s["name"], s["start"], s["end"]) for s in r.span_list} - {(s["name"], s["start"], s["end"]) for s in r.base_list} for r in pii.digest(spark.createDataFrame([(k, t) for k, t, _ in rows], "id long, text string")).collect()}
+    true, hit, made, right = (collections.Counter() for _ in range(4))
+    for k, _, own in rows:
+        for kind, *at in own:
+            true[kind] += 1
+            hit[kind] += any(at == s[1:] for s in map(list, found[k]))
+        for kind, *at in found[k]:
+            made[kind] += 1
+            right[kind] += any(at == s[1:] for s in map(list, own))
+    return {k: (right[k] / max(made[k], 1), hit[k] / true[k]) for k in true}
+
+
+def test_trees_on_unseen_rows(spark):
+    found = precision_and_recall(pii_rows.held_rows(1200, 12345), spark)
+    assert set(found) == set(pii.LEARNED)
+    assert all(p >= 0.93 and r >= 0.5 for p, r in found.values()), found
+    assert all(np.isfinite(x) for x in pii._fitted(spark.sparkContext.applicationId)[1].values())
+
+
+def test_trees_on_real_texts(spark):
+    docs = spark.createDataFrame([(k, t, "x") for k, (t, _) in enumerate(REAL)], "kind long, text string, hit string")  # names that the operator uses
+    found = {r.kind: sorted((s["name"], REAL[r.kind][0][s["start"] : s["end"]]) for s in r.span_list) for r in pii.digest(docs).collect()}
+    wrong = {t: found[k] for k, (t, own) in enumerate(REAL) if found[k] != sorted(own)}
+    assert not wrong, wrong
+    clean = {r.kind: r.text for r in pii.redact(docs, "kind").collect()}
+    for k, (_, own) in enumerate(REAL):
+        assert not any(hit in clean[k] for _, hit in own)
+    assert clean[3] == 'token = "[SECRET]"'
+
+
+def test_overlapping_spans_go_as_one(spark):
+    many = [(k, f"a@b.cd {prose(k, 20)} 4111111111111111@x.yz 10.0.0.1", k) for k in range(5)]
+    docs = spark.createDataFrame(many + [(None, "a@b.cd", 7), (None, None, 8), (3, many[3][1], 3)], "doc_id long, text string, start int")
+    left = pii.redact(docs)
+    expected = [*((k, f"[EMAIL] {prose(k, 20)} [EMAIL] [IP]", k) for k in (0, 1, 2, 3, 3, 4)), (None, "[EMAIL]", 7), (None, None, 8)]
+    assert left.columns == docs.columns and bag(map(tuple, left.collect())) == bag(expected)
 
 
 def test_boosting():
@@ -459,7 +616,7 @@ def test_boosting():
     model = boost.Boosted(x[:1500], y[:1500])
     assert ((model.raw(x[1500:]) > 0) == y[1500:]).mean() > 0.9
     assert boost.precise_threshold(np.array([3.0, 2, 1, 0]), np.array([1, 1, 0, 1]), 0.99) == 2
-    assert boost.precise_threshold(np.array([1.0, 1.0]), np.array([1, 0]), 0.99) == float("inf")
+    assert 1 < boost.precise_threshold(np.array([1.0, 1.0]), np.array([1, 0]), 0.99) < 1.001
 
 
 # ---- 10: quality
@@ -487,7 +644,7 @@ def test_quality(spark, odd, none, labels, sf_dir):
         assert not any(r.kept and r.base_failed for r in found)
     good = {r.doc_id for r in marks.filter("quality = 1").collect()}
     judged = [r for r in found if r.doc_id in good and not r.base_failed]
-    assert sum(r.kept for r in judged) >= 0.99 * len(judged)
+    assert sum(r.kept for r in judged) >= 0.95 * len(judged)
     fitted = rules.fit_rules(none, labels)
     assert all(r.kept != r.base_failed for r in rules.judge(odd, fitted).collect())
     assert rules.judge(none, fitted).count() == 0
@@ -509,13 +666,38 @@ def test_threshold_weighs_bad_against_good(spark):
         assert rules.best_threshold(spark.createDataFrame(rows, "score double, quality int")) == plain_threshold(good, bad)
 
 
-def test_every_labelled_row_sets_the_threshold(spark, sf_dir):
+def test_every_held_out_row_sets_the_threshold(spark, sf_dir):
     docs, marks = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     docs = docs.unionByName(docs.filter("doc_id % 3 = 0")).unionByName(docs.limit(0))
     fitted = rules.fit_rules(docs, marks, sample=24)
-    quality = {r.doc_id: r.quality for r in marks.collect()}
+    quality = {r.doc_id: r.quality for r in marks.filter(rules.held_out()).collect()}
     scored = [(r.anomaly, quality[r.doc_id]) for r in rules.judge(docs, fitted).collect() if r.doc_id in quality and not r.base_failed]
-    assert len(scored) > 48 and fitted.threshold == pytest.approx(plain_threshold([x for x, q in scored if q == 1], [x for x, q in scored if q == 0]), abs=1e-12)
+    assert len(scored) > 24 and fitted.threshold == pytest.approx(plain_threshold([x for x, q in scored if q == 1], [x for x, q in scored if q == 0]), abs=1e-12)
+    fitting = {r.doc_id for r in marks.filter(~rules.held_out()).collect()}
+    assert fitting.isdisjoint(quality) and min(len(fitting), len(quality)) > 20
+
+
+def plain_score(forest, row):
+    """Mean path length of one row, tree by tree and node by node."""
+    total = 0.0
+    for feature, cut, left, right, depth in forest.trees:
+        at = 0
+        while feature[at] >= 0:
+            at = left[at] if row[feature[at]] <= cut[at] else right[at]
+        total += depth[at]
+    return 2.0 ** (-total / len(forest.trees) / forest.unit)
+
+
+def test_kept_by_path_lengths(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    fitted = rules.fit_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    verdicts = {r.doc_id: (r.anomaly, r.kept) for r in rules.judge(docs, fitted).collect()}
+    for i, t in texts(sf_dir):
+        n, chars, symbols, dup, repeat, failed = plain_stats(t)
+        lines, words = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (t or "").split("\n")), re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        row = [np.log1p(n), chars / max(n, 1), symbols / max(n, 1), dup / max(lines, 1), repeat / max(n, 1), len(set(words)) / max(n, 1) ** 0.8]
+        score = plain_score(fitted.forest, row)
+        assert verdicts[i][0] == pytest.approx(score, abs=1e-9) and verdicts[i][1] == (not failed and score <= fitted.threshold + 1e-12)
 
 
 def test_isolation_forest():
