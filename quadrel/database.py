@@ -46,11 +46,13 @@ def _stored(t: Table, df: DataFrame) -> DataFrame:
 class Database:
     """Tables are bound to wide DataFrames, or read out of one DataFrame of quads."""
 
-    def __init__(self, spark: SparkSession, quads: DataFrame | None = None) -> None:
-        self.spark, self.quads = spark, quads
+    def __init__(self, spark: SparkSession, quads: DataFrame | None = None, unique: bool = False) -> None:
+        """unique: no statement of the quads stands in two graphs, nor twice in one, so SPARQL patterns need no distinct."""
+        self.spark, self.quads, self.unique = spark, quads, unique
         self.frames = _Frames()
         self.relations: dict[str, dict[str, Relation]] = {}
         self.sources: dict[str, DataFrame] = {}
+        self.stores: dict[str, Any] = {}
         self.errors: DataFrame | None = None
 
     def bind(self, t: Table, df: DataFrame) -> Database:
@@ -63,6 +65,35 @@ class Database:
         self.frames.later[t.name] = lambda: _stored(t, read())
         return self
 
+    def replace_quads(self, quads: DataFrame, unique: bool = False) -> Database:
+        self.quads, self.unique = quads, unique
+        return self
+
+    def load_quads(self, *tables: Table) -> Database:
+        """The rows of bound tables as the database's quads. Keys are unique and values stand once, so statements do too."""
+        from functools import reduce
+
+        from quadrel.operators.quads import wide_to_quads
+
+        return self.replace_quads(reduce(lambda a, b: a.unionByName(b), (wide_to_quads(self.frame(t), t) for t in tables)), True)
+
+    def bind_store(self, t: Table, path: str, format: str = "parquet") -> Database:
+        """The table's rows at path; changes are written there, and read back, so plans do not pile up."""
+        from quadrel.sources.store import Store
+
+        self.stores[t.name] = Store(self.spark, t, path, format)
+        self.frames[t.name] = self.stores[t.name].read()
+        return self
+
+    def put(self, t: Table, rows: DataFrame, added: DataFrame | None = None) -> None:
+        """The table's next version; `added`, where rows were only added, is all that a store has to write."""
+        store = self.stores.get(t.name)
+        if store is None:
+            self.frames[t.name] = rows
+            return
+        store.append(added) if added is not None else store.replace(rows)
+        self.frames[t.name] = store.read()
+
     def relate(self, t: Table, **relations: Relation) -> Database:
         self.relations.setdefault(t.name, {}).update(relations)
         return self
@@ -116,17 +147,28 @@ class Database:
 
     def transaction(self, work: Callable[[Database], Any]) -> Any:
         """All of the work or none: DataFrames do not change, so the old ones are put back on failure."""
-        before, quads = self.frames.copy(), self.quads
+        before, quads, unique = self.frames.copy(), self.quads, self.unique
         try:
             return work(self)
         except BaseException:
-            self.frames, self.quads = before, quads
+            self.frames, self.quads, self.unique = before, quads, unique
             raise
 
     def add_source(self, name: str, df: DataFrame) -> None:
         self.sources[name] = df
         df.createOrReplaceTempView(name)
 
+    def add_sources_from_index(self, rows: DataFrame, rdf_class: str, read: Callable[[str], DataFrame]) -> list[str]:
+        """A source for each container that an index (rdf_class, container) has for the class; returns their names. Containers of one class are few."""
+        found = [r[0] for r in rows.filter(F.col("rdf_class") == rdf_class).select("container").distinct().orderBy("container").collect()]
+        names = [f"source_{len(self.sources) + k}" for k in range(len(found))]
+        for name, container in zip(names, found, strict=True):
+            self.add_source(name, read(container))
+        return names
+
+    def list_sources(self) -> list[str]:
+        return sorted(self.sources)
+
     def remove_source(self, name: str) -> None:
         self.sources.pop(name, None)
         self.spark.catalog.dropTempView(name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import DataFrame
@@ -10,19 +11,42 @@ from pyspark.sql import functions as F
 
 from quadrel.functions.predicates import from_mapping, refs, to_column
 from quadrel.operators.identity import link_value
+from quadrel.operators.keys import generated, with_keys
 from quadrel.schema import Ref, Table
 
 if TYPE_CHECKING:
     from quadrel.database import Database
 
 
+@dataclass(frozen=True)
+class ChangePlan:
+    """What a change means, independent of Spark. rows is None for an insert from a DataFrame."""
+
+    kind: str
+    table: Table
+    rows: tuple[Mapping[str, Any], ...] | None = None
+    values: Mapping[str, Any] | None = None
+    where: Any = None
+
+
 def with_defaults(t: Table, df: DataFrame) -> DataFrame:
-    """All columns of t in order: given values, else defaults, else null; the key last, so that it can use the others."""
+    """All columns of t in order: given values, else defaults, else null; the key last, so that it can use the others.
+
+    A text key that no row has, or that some rows lack, is generated (see keys.with_keys).
+    """
+    if generated(t) and (t.pk not in df.columns or not df.filter(F.col(f"`{t.pk}`").isNull()).isEmpty()):
+        others = _with_defaults(t, df.withColumn(t.pk, F.col(f"`{t.pk}`") if t.pk in df.columns else F.lit(None).cast("string")))
+        return with_keys(t, others)
+    return _with_defaults(t, df)
+
+
+def _with_defaults(t: Table, df: DataFrame) -> DataFrame:
     order = [n for n, c in t.columns.items() if not c.primary] + [t.pk]
     given, links = set(df.columns), {}
     for n in order:
         c = t.columns[n]
         default = c.default_value() if callable(c.default_value) else c.default_value
+        default = None if c.primary and isinstance(default, str) else default  # a template
         value = F.col(f"`{n}`") if n in given else F.lit(None)
         if default is not None:
             value = F.coalesce(value, default if hasattr(default, "_jc") else F.lit(default))
@@ -73,7 +97,12 @@ class _Change:
         return df.select(*(F.col(f"`{c}`") for c in fields or self.table.columns))
 
     def _put(self, df: DataFrame) -> None:
-        self.db.frames[self.table.name] = df
+        self.db.put(self.table, df)
+
+    def to_sparql(self) -> str:
+        from quadrel.sparql.emit import change_text
+
+        return change_text(self.plan())
 
     def _hook(self, name: str, rows: DataFrame) -> None:
         if (f := self.table.hooks.get(name)) is not None:
@@ -89,6 +118,7 @@ class Insert(_Change):
     def values(self, rows: DataFrame | Mapping[str, Any] | list[Mapping[str, Any]]) -> Insert:
         if not isinstance(rows, DataFrame):
             rows = [rows] if isinstance(rows, Mapping) else list(rows)
+            self.given = tuple(dict(r) for r in rows)
             used = [n for n in self.table.columns if any(n in r for r in rows)]
             if unknown := {k for r in rows for k in r} - set(self.table.columns):
                 raise ValueError(f"{self.table.name} has no column {sorted(unknown)[0]!r}")
@@ -99,10 +129,13 @@ class Insert(_Change):
         self.new = with_defaults(self.table, rows)
         return self
 
+    def plan(self) -> ChangePlan:
+        return ChangePlan("insert", self.table, getattr(self, "given", None))
+
     def run(self) -> DataFrame:
         old = self.db.frames.get(self.table.name)
         check_keys(self.table, self.new, old)
-        self._put(self.new if old is None else old.unionByName(self.new))
+        self.db.put(self.table, self.new if old is None else old.unionByName(self.new), self.new)
         self._hook("after_insert", self.new)
         return self.new
 
@@ -121,6 +154,9 @@ class Update(_Change):
         self.new = dict(values)
         return self
 
+    def plan(self) -> ChangePlan:
+        return ChangePlan("update", self.table, values=self.new, where=self.condition)
+
     def _changed(self, n: str) -> Any:
         c, v = self.table.columns[n], self.new[n]
         if hasattr(v, "_jc"):
@@ -145,6 +181,9 @@ class Update(_Change):
 class Delete(_Change):
     """delete(t).where(...).returning(...): the rows as they were."""
 
+    def plan(self) -> ChangePlan:
+        return ChangePlan("delete", self.table, where=self.condition)
+
     def run(self) -> DataFrame:
         old, test = self.db.frames[self.table.name], self._test()
         self._put(old.filter(~test))
@@ -160,7 +199,7 @@ def upsert(db: Database, t: Table, df: DataFrame) -> DataFrame:
     """Rows of df take the place of stored ones with their key; the others are added. Returns the new version."""
     new, old = with_defaults(t, df), db.frames[t.name]
     check_keys(t, new, None)
-    db.frames[t.name] = old.join(new.select(t.pk), t.pk, "left_anti").select(*old.columns).unionByName(new)
+    db.put(t, old.join(new.select(t.pk), t.pk, "left_anti").select(*old.columns).unionByName(new))
     return db.frames[t.name]
 
 
@@ -169,7 +208,7 @@ def insert_once(db: Database, t: Table, df: DataFrame) -> DataFrame:
     new, old = with_defaults(t, df), db.frames[t.name]
     check_keys(t, new, None)
     fresh = new.join(old.select(t.pk), t.pk, "left_anti").select(*old.columns)
-    db.frames[t.name] = old.unionByName(fresh)
+    db.put(t, old.unionByName(fresh), fresh)
     return fresh
 
 
@@ -189,6 +228,20 @@ def delete_by_iri(db: Database, t: Table, iri: str) -> DataFrame:
     return delete_by_id(db, t, _key_of(db, t, iri))
 
 
+def update_by_resource(db: Database, t: Table, ref: str, values: Mapping[str, Any]) -> DataFrame:
+    """ref as for find_by_resource: an IRI, a path below the base, or a short id that ends exactly one subject."""
+    return update_by_id(db, t, _key_at(db, t, ref), values)
+
+
+def delete_by_resource(db: Database, t: Table, ref: str) -> DataFrame:
+    return delete_by_id(db, t, _key_at(db, t, ref))
+
+
+def _key_at(db: Database, t: Table, ref: str) -> Any:
+    row = db.query(t).find_by_resource(ref).select(t.pk).first()
+    return None if row is None else row[0]
+
+
 def _key_of(db: Database, t: Table, iri: str) -> Any:
     row = db.frame(t).filter(F.col("_iri") == iri).select(t.pk).first()
     return None if row is None else row[0]

@@ -6,11 +6,13 @@ from collections.abc import Mapping
 from functools import reduce
 from typing import TYPE_CHECKING, Any
 
+from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from quadrel.functions.aggregates import Order
 from quadrel.functions.predicates import and_, ends_with, eq, or_
+from quadrel.operators.identity import is_absolute
 from quadrel.plans.select import Select
 from quadrel.schema import Relation, Table
 
@@ -35,12 +37,28 @@ def link_fields(parent: Table, rel: Relation) -> tuple[list[str], list[str], boo
     raise ValueError(f"no link between {parent.name} and {rel.target.name}")
 
 
-def attach(db: Database, df: DataFrame, parent: Table, name: str, rel: Relation) -> DataFrame:
-    """df (with _iri) and a column `name`: an array of child structs, or for `one` a struct that may be null."""
+def _link_key(t: Table, name: str, c: SparkColumn) -> SparkColumn:
+    """A key, or a link below the base of its table, as the short id that it ends in, so that an IRI, a fragment and a bare id meet."""
+    column = t.columns.get(name)
+    if column is None or column.is_array or column.spark_type.simpleString() != "string" or not (column.primary or column.link_to is not None):
+        return c
+    base = t.base if column.primary else column.link_to.base if isinstance(column.link_to, Table) else column.link_to if is_absolute(column.link_to) else ""
+    below = F.regexp_replace(c, r"^.*[/#]", "")
+    return F.when(F.startswith(c, F.lit("#")) | (F.startswith(c, F.lit(base)) if base else F.lit(False)), below).otherwise(c)
+
+
+def attach(db: Database, df: DataFrame, parent: Table, name: str, rel: Relation, paged: bool = False) -> DataFrame:
+    """df (with _iri) and a column `name`: an array of child structs, or for `one` a struct that may be null.
+
+    paged: df is a page, so the child side is first reduced to the rows that the page links to.
+    """
     child = db.frame(rel.target)
     own, theirs, inverse = link_fields(parent, rel)
     value = F.struct(*(F.col(f"`{c}`") for c in rel.target.columns))
-    keyed = child.select(*(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(theirs)), value.alias("__v")).dropna(subset=[f"__k{i}" for i in range(len(theirs))])
+    links = own != ["_iri"] and theirs != ["_iri"]
+    near = lambda c: _link_key(parent, c, F.col(f"`{c}`")) if links else F.col(f"`{c}`")
+    far = lambda c: _link_key(rel.target, c, F.col(f"`{c}`")) if links else F.col(f"`{c}`")
+    keyed = child.select(*(far(c).alias(f"__k{i}") for i, c in enumerate(theirs)), value.alias("__v")).dropna(subset=[f"__k{i}" for i in range(len(theirs))])
     keys = [f"__k{i}" for i in range(len(theirs))]
     if inverse and parent.columns[own[0]].is_array:
         pairs = df.select(F.col("_iri").alias("__p"), F.explode(F.array_distinct(own[0])).alias("__k0")).join(keyed, "__k0")
@@ -48,8 +66,11 @@ def attach(db: Database, df: DataFrame, parent: Table, name: str, rel: Relation)
         out = df.join(lists, df["_iri"] == lists["__p"], "left").drop("__p")
         return out.withColumn(name, F.coalesce(name, F.array()))
     made = F.array_sort(F.collect_list("__v")) if rel.kind == "many" else F.min("__v")
+    if paged:
+        page = df.select(*(near(c).alias(k) for c, k in zip(own, keys, strict=True))).distinct()
+        keyed = keyed.join(page, keys, "left_semi")
     lists = keyed.groupBy(*keys).agg(made.alias(name))
-    on = reduce(lambda a, b: a & b, (F.col(f"`{c}`") == F.col(k) for c, k in zip(own, keys, strict=True)))
+    on = reduce(lambda a, b: a & b, (near(c) == F.col(k) for c, k in zip(own, keys, strict=True)))
     out = df.join(lists, on, "left").drop(*keys)
     return out.withColumn(name, F.coalesce(name, F.array())) if rel.kind == "many" else out
 
@@ -90,7 +111,7 @@ class Finder:
 
                 df = attach_remote(self.db, df, t, name, rel)
             else:
-                df = attach(self.db, df, t, name, rel)
+                df = attach(self.db, df, t, name, rel, limit is not None or subject is not None)
         kept = list(t.columns) if columns is None else [k for k, v in columns.items() if v] if isinstance(columns, Mapping) else list(columns)
         if order and wanted:  # the joins may have dealt the page out anew
             place = lambda o: o.by if isinstance(o.by, str) else o.by.name

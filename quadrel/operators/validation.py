@@ -13,6 +13,7 @@ from quadrel.operators.quads import DATATYPES, XSD, is_iri
 from quadrel.schema import Column, Table, table
 
 SH = "http://www.w3.org/ns/shacl#"
+# Datatype -> declared kind.
 KIND_OF = {XSD + "string": "string", XSD + "integer": "integer", XSD + "int": "integer", XSD + "long": "integer", XSD + "decimal": "decimal", XSD + "double": "double", XSD + "float": "double", XSD + "boolean": "boolean", XSD + "dateTime": "datetime", XSD + "date": "datetime", XSD + "json": "json", XSD + "anyURI": "uri"}
 
 
@@ -129,6 +130,37 @@ def check_frame(t: Table, df: DataFrame, update: bool = False) -> list[str]:
     return lacking + [f"{n} is {wide(kinds[n])}, not {c.spark_type.simpleString()}" for n, c in t.columns.items() if n in kinds and wide(kinds[n]) != c.spark_type.simpleString()]
 
 
+def row_problems(t: Table, df: DataFrame, update: bool = False) -> DataFrame:
+    """row (as JSON), column and problem of values that an insert, or an update, of t does not take. One pass, no shuffle.
+
+    An insert may lack the key and what has a default; an update may lack anything but not clear what is required.
+    """
+    tests = []
+    row = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))
+    for n, c in t.columns.items():
+        free = c.primary or not c.required or c.default_value is not None
+        if n not in df.columns:
+            if not update and not free:
+                tests.append((F.lit(True), n, "is missing"))
+            continue
+        value = F.col(f"`{n}`")
+        if c.required and (update or not free):
+            tests.append((value.isNull(), n, "must have a value"))
+        if not isinstance(df.schema[n].dataType, T.ArrayType | T.MapType | T.StructType) and not c.is_array and not isinstance(c.spark_type, T.MapType):
+            bad = value.isNotNull() & value.cast("string").try_cast(c.spark_type).isNull()
+            tests.append((bad, n, f"is no {c.kind}"))
+            if is_iri(c) and c.link_to is None:
+                tests.append((~value.cast("string").rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), n, "is no IRI"))
+        elif isinstance(df.schema[n].dataType, T.ArrayType) != c.is_array:
+            tests.append((value.isNotNull(), n, "is no list" if c.is_array else "is a list"))
+    for n in sorted(set(df.columns) - set(t.columns)):
+        tests.append((F.lit(True), n, "is no column"))
+    found = F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(n).alias("column"), F.lit(problem).alias("problem"))) for bad, n, problem in tests))
+    if not tests:
+        return df.limit(0).select(row.alias("row"), F.lit("").alias("column"), F.lit("").alias("problem"))
+    return df.select(row.alias("row"), F.inline(F.filter(found, lambda x: x.isNotNull())))
+
+
 def with_predicates(shape: Shape, t: Table) -> Shape:
     """Paths that are predicates renamed to the table's columns."""
     by = {t.predicate_of(n): n for n in t.columns}

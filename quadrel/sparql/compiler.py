@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quadrel.operators.identity import document_of
 from quadrel.operators.quads import QUAD, XSD, graph_scan
+from quadrel.sources.layout import written
 from quadrel.sparql.parser import AGGREGATES, Call, Group, Query, Term
 
 TERM = "struct<k:string,v:string,d:string,l:string>"
@@ -47,15 +48,73 @@ def plain(x: Column) -> Column:
 
 
 class Compiler:
-    def __init__(self, spark: SparkSession, quads: DataFrame) -> None:
+    def __init__(self, spark: SparkSession, quads: DataFrame, unique: bool = False) -> None:
+        """unique: no statement stands in two graphs, nor twice in one, so patterns need no distinct()."""
         if quads is None:
             raise ValueError("SPARQL needs a database of quads")
-        self.spark, self.quads, self.n = spark, quads, 0
+        self.spark, self.quads, self.unique, self.n = spark, quads, unique, 0
 
     # ---- patterns
 
     def bgp(self, triples: list[tuple[Term, Term, Term]], graph: Term | None, graphs: list[str]) -> Rows:
-        return reduce(self.join, (self.triple(t, graph, graphs) for t in triples))
+        return reduce(self.join, (self.path(*t, graph, graphs) for t in triples))
+
+    def path(self, s: Term, p: Any, o: Term, graph: Term | None, graphs: list[str]) -> Rows:
+        """Solutions of s p o, where p may be a path."""
+        if isinstance(p, Term):
+            return self.triple((s, p, o), graph, graphs)
+        match p.name:
+            case "^":
+                return self.path(o, p.args[0], s, graph, graphs)
+            case "/":
+                middle = Term("var", f"_path{self._next()}")
+                rows = self.join(self.path(s, p.args[0], middle, graph, graphs), self.path(middle, p.args[1], o, graph, graphs))
+                return Rows(rows.df.drop(middle.value), {v: k for v, k in rows.sure.items() if v != middle.value})
+            case "|":
+                a, b = (self.path(s, x, o, graph, graphs) for x in p.args)
+                if a.sure.keys() != b.sure.keys():  # neither end is a variable
+                    a, b = (Rows(r.df.select(F.lit(None).cast(TERM).alias("_one0")), {"_one0": False}) for r in (a, b))
+                return Rows(a.df.unionByName(b.df), a.sure)
+        return self._closure(s, p, o, graph, graphs)
+
+    def _closure(self, s: Term, p: Call, o: Term, graph: Term | None, graphs: list[str]) -> Rows:
+        """p+, p* and p?: pairs of nodes, each once. Steps begin at the end that is known; each is written out."""
+        x, y = Term("var", f"_from{self._next()}"), Term("var", f"_to{self._next()}")
+        edges = self.path(x, p.args[0], y, graph, graphs).df.select(F.col(x.value).alias("a"), F.col(y.value).alias("b")).distinct()
+        back = s.kind == "var" and o.kind != "var"
+        if back:  # from the object on
+            edges = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        start = constant(o if back else s) if not (s.kind == "var" and o.kind == "var") else None
+        found = edges if start is None else edges.filter(F.col("a") == start)
+        if p.name != "?":
+            edges = written(edges, "edges")
+            found = front = written(found if start is None else edges.filter(F.col("a") == start), "reached")
+            while not front.isEmpty():
+                step = front.select("a", F.col("b").alias("m")).join(edges.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct()
+                front = written(step.join(found, ["a", "b"], "left_anti"), "reached")
+                found = found.unionByName(front)
+        if p.name != "+":
+            if start is None:
+                scan = graph_scan(self.quads, graphs or None)
+                none = F.lit(None).cast("string")
+                subject = F.struct(F.when(F.startswith("s", F.lit("_:")), "blank").otherwise("iri").alias("k"), F.col("s").alias("v"), none.alias("d"), none.alias("l")).cast(TERM)
+                obj = F.struct(F.col("o_kind").alias("k"), F.col("o").alias("v"), F.when(F.col("o_lang").isNull(), F.col("o_dt")).alias("d"), F.col("o_lang").alias("l")).cast(TERM)
+                nodes = scan.select(F.explode(F.array(subject, obj)).alias("a")).distinct()
+                same = nodes.select("a", F.col("a").alias("b"))
+            else:
+                same = self.spark.range(1).select(start.cast(TERM).alias("a"), start.cast(TERM).alias("b"))
+            found = found.unionByName(same).distinct()
+        if back:
+            found = found.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        for c, term in (("a", s), ("b", o)):
+            if term.kind != "var":
+                found = found.filter(F.col(c) == constant(term))
+        if s.kind == o.kind == "var" and s.value == o.value:
+            found = found.filter(F.col("a") == F.col("b"))
+        names = {t.value: c for c, t in (("a", s), ("b", o)) if t.kind == "var"}
+        if not names:
+            names, found = {f"_one{self._next()}": "a"}, found.withColumn("a", F.lit(None).cast(TERM))
+        return Rows(found.select(*(F.col(c).alias(v) for v, c in names.items())), {v: not v.startswith("_one") for v in names})
 
     def triple(self, t: tuple[Term, Term, Term], graph: Term | None, graphs: list[str]) -> Rows:
         df = graph_scan(self.quads, graphs or None)
@@ -84,7 +143,7 @@ class Compiler:
         made = {k: v for k, v in made.items()} or {f"_one{self._next()}": F.lit(None).cast(TERM)}
         out = df.select(*(v.alias(k) for k, v in made.items()))
         # graphs repeat statements; the default graph is their union
-        return Rows(out if graph is not None else out.distinct(), {k: not k.startswith("_one") for k in made})
+        return Rows(out if graph is not None or self.unique else out.distinct(), {k: not k.startswith("_one") for k in made})
 
     def _next(self) -> int:
         self.n += 1
@@ -95,12 +154,10 @@ class Compiler:
         return b.df.select(*(F.col(f"`{c}`").alias(names.get(c, c)) for c in b.df.columns)), names
 
     def _compatible(self, a: Rows, b: Rows, names: dict[str, str], free: bool = True) -> Column:
-        """free: a variable that one side leaves unbound fits anything."""
+        """free: a variable that b leaves unbound fits anything. a binds all shared ones here."""
         tests = []
         for v, r in names.items():
             same = F.col(f"`{v}`") == F.col(f"`{r}`")
-            if free and not a.sure[v]:
-                same = same | F.col(f"`{v}`").isNull()
             if free and not b.sure[v]:
                 same = same | F.col(f"`{r}`").isNull()
             tests.append(same)
@@ -110,13 +167,35 @@ class Compiler:
         out = [(F.coalesce(F.col(f"`{v}`"), F.col(f"`{names[v]}`")) if v in names and not a.sure[v] else F.col(f"`{v}`")).alias(v) for v in a.sure]
         return df.select(*out, *(F.col(f"`{v}`") for v in b.sure if v not in names))
 
+    def _halves(self, a: Rows, v: str) -> tuple[Rows, Rows]:
+        """The rows that bind v, and the others without v: joins on it are then equalities, which Spark can hash and sort by."""
+        bound, free = a.df.filter(F.col(f"`{v}`").isNotNull()), a.df.filter(F.col(f"`{v}`").isNull()).drop(v)
+        return Rows(bound, {**a.sure, v: True}), Rows(free, {k: s for k, s in a.sure.items() if k != v})
+
+    @staticmethod
+    def _both(a: Rows, b: Rows, sure: dict[str, bool]) -> Rows:
+        names = list(sure)
+        return Rows(a.df.unionByName(b.df, allowMissingColumns=True).select(*(F.col(f"`{n}`") for n in names)), sure)
+
+    def _loose(self, a: Rows, b: Rows) -> str | None:
+        """A shared variable that some rows of a leave unbound."""
+        return next((v for v in a.sure if v in b.sure and not a.sure[v]), None)
+
     def join(self, a: Rows, b: Rows) -> Rows:
         shared = [v for v in a.sure if v in b.sure]
+        if (v := self._loose(a, b)) is not None:
+            bound, free = (self.join(half, b) for half in self._halves(a, v))
+            return self._both(bound, free, {**b.sure, **{n: a.sure[n] or b.sure.get(n, False) for n in a.sure}})
+        if self._loose(b, a) is not None:
+            return self.join(b, a)
         right, names = self._apart(b, shared)
         df = a.df.join(right, self._compatible(a, b, names)) if shared else a.df.crossJoin(right)
         return Rows(self._merged(df, a, b, names), {**b.sure, **{v: a.sure[v] or b.sure.get(v, False) for v in a.sure}})
 
     def optional(self, a: Rows, b: Rows, filters: list[Any]) -> Rows:
+        if (v := self._loose(a, b)) is not None:
+            bound, free = (self.optional(half, b, filters) for half in self._halves(a, v))
+            return self._both(bound, free, {**{n: False for n in b.sure}, **a.sure})
         shared = [v for v in a.sure if v in b.sure]
         right, names = self._apart(b, shared)
         on = self._compatible(a, b, names)
@@ -126,11 +205,15 @@ class Compiler:
         return Rows(self._merged(a.df.join(right, on, "left"), a, b, names), {**{v: False for v in b.sure}, **a.sure})
 
     def semi(self, a: Rows, b: Rows, keep: bool) -> Rows:
+        if (v := self._loose(a, b)) is not None:
+            return self._both(*(self.semi(half, b, keep) for half in self._halves(a, v)), a.sure)
         shared = [v for v in a.sure if v in b.sure]
         right, names = self._apart(b, shared)
         return Rows(a.df.join(right.select(*names.values()) if names else right, self._compatible(a, b, names), "left_semi" if keep else "left_anti"), a.sure)
 
     def minus(self, a: Rows, b: Rows) -> Rows:
+        if (v := self._loose(a, b)) is not None:
+            return self._both(*(self.minus(half, b) for half in self._halves(a, v)), a.sure)
         shared = [v for v in a.sure if v in b.sure]
         if not shared:
             return a
@@ -385,9 +468,48 @@ class Compiler:
         df = (rows.df if rows else self.spark.range(1)).select(F.explode(F.array(*made)).alias("q")).select("q.*")
         return df.filter("s is not null and p is not null and o is not null").distinct()
 
+    def construct(self, q: Query) -> DataFrame:
+        """Statements of the template for each solution, each once."""
+        rows = self.solve(q.where, None, q.graphs)
+        df = self._made(q.insert, rows).select("s", "p", "o_kind", "o", F.when(F.col("o_kind") == "literal", F.col("o_dt")).alias("o_dt"), "o_lang").distinct()
+        df = df.offset(q.offset) if q.offset else df
+        return df.limit(q.limit) if q.limit is not None else df
+
+    def describe(self, q: Query) -> DataFrame:
+        """All statements whose subject is one of the resources."""
+        rows = self.solve(q.where, None, q.graphs) if q.where is not None else None
+        see = {v: F.col(f"`{v}`") for v in rows.sure} if rows else {}
+        named = F.explode(F.array(*(self.term(e, see)["v"] for _, e in q.items))).alias("s")
+        subjects = (rows.df if rows else self.spark.range(1)).select(named).distinct()
+        found = graph_scan(self.quads, q.graphs or None).join(subjects, "s", "left_semi")
+        return found.select("s", "p", "o_kind", "o", "o_dt", "o_lang").distinct()
+
+    def _manage(self, word: str, source: str, target: str | None) -> DataFrame:
+        """CLEAR, DROP, CREATE, COPY, MOVE and ADD. DEFAULT is what stands in no named graph. Returns inserted and deleted."""
+        quads, g = self.quads, F.col("g")
+        of = lambda name: g.isNull() if name == "DEFAULT" else g.isNotNull() if name == "NAMED" else F.lit(True) if name == "ALL" else g.eqNullSafe(F.lit(name))
+        none = quads.limit(0)
+        if word in ("CLEAR", "DROP"):
+            gone, new, left = quads.filter(of(source)), none, quads.filter(~of(source))
+        elif word == "CREATE" or source == target:
+            gone, new, left = none, none, quads
+        else:
+            moved = quads.filter(of(source)).withColumn("g", F.lit(None if target == "DEFAULT" else target).cast("string")).distinct()
+            dropped = F.lit(False) if word == "ADD" else of(target) | of(source) if word == "MOVE" else of(target)
+            gone, left = quads.filter(dropped), quads.filter(~dropped)
+            keys = [c for c in quads.columns if c != "g"]
+            have = left.filter(of(target)).select(*(F.col(c).alias(f"h_{c}") for c in keys))
+            new = moved.join(have, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"h_{c}")) for c in keys)), "left_anti").select(*quads.columns)
+        self.quads, self.unique = written(left.unionByName(new), "quads"), self.unique and word in ("CLEAR", "DROP", "CREATE", "MOVE")
+        return new.agg(F.count("*").alias("inserted")).crossJoin(gone.agg(F.count("*").alias("deleted")))
+
     def update(self, q: Query) -> tuple[DataFrame, DataFrame]:
         counts = []
         for step in [q, *q.then]:
+            if step.manage is not None:
+                counts.append(self._manage(*step.manage))
+                continue
+            self.unique = self.unique and not step.insert
             rows = self.solve(step.where, None, step.graphs) if step.where is not None else None
             gone, new = self._made(step.delete, rows), self._made(step.insert, rows)
             quads, left = self.quads, self.quads
@@ -403,10 +525,11 @@ class Compiler:
                 after = left.unionByName(n)
             else:
                 n, after = None, left
-            removed = quads.agg(F.count("*").alias("a")).crossJoin(left.agg(F.count("*").alias("b"))).select((F.col("a") - F.col("b")).alias("deleted"))
+            lost = quads.join(d, on, "left_semi") if step.delete else quads.limit(0)
+            removed = lost.agg(F.count("*").alias("deleted"))
             added = n.agg(F.count("*").alias("inserted")) if n is not None else self.spark.range(1).select(F.lit(0).cast("long").alias("inserted"))
             counts.append(added.crossJoin(removed))
-            self.quads = after.select(*quads.columns)
+            self.quads = written(after.select(*quads.columns), "quads")  # later steps read the store several times each
         total = reduce(lambda a, b: a.unionByName(b), counts)
         return self.quads, total.agg(F.sum("inserted").alias("inserted"), F.sum("deleted").alias("deleted"))
 

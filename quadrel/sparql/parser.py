@@ -11,8 +11,9 @@ from quadrel.operators.quads import RDF_TYPE, XSD
 _TOKENS = re.compile(
     r'''(?P<space>\s+|\#[^\n]*)|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<var>[?$]\w+)|(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)'''
     r'''|(?P<number>\d+\.\d+(?:[eE][+-]?\d+)?|\d+(?:[eE][+-]?\d+)?)|(?P<blank>_:\w+)|(?P<name>(?:[A-Za-z][\w-]*)?:[\w.-]*[\w-]|(?:[A-Za-z][\w-]*)?:)|(?P<word>[A-Za-z_]\w*)'''
-    r'''|(?P<mark>\^\^|&&|\|\||!=|<=|>=|[{}().;,=<>!+*/-])''',
+    r'''|(?P<mark>\^\^|&&|\|\||!=|<=|>=|[{}().;,=<>!+*/|^?-])''',
 )
+UPDATES = ("INSERT", "DELETE", "WITH", "CLEAR", "DROP", "CREATE", "COPY", "MOVE", "ADD", "LOAD")
 AGGREGATES = ("COUNT", "SUM", "AVG", "MIN", "MAX")
 
 
@@ -57,6 +58,7 @@ class Query:
     delete: list[tuple] = field(default_factory=list)
     insert: list[tuple] = field(default_factory=list)
     then: list[Query] = field(default_factory=list)
+    manage: tuple | None = None  # (word, from, to) of updates of whole graphs; a graph is an IRI, DEFAULT, NAMED or ALL
 
 
 class _Parser:
@@ -99,15 +101,17 @@ class _Parser:
             self.dataset(q)
             self.maybe("WHERE")
             q.where = self.group()
-        elif word in ("INSERT", "DELETE", "WITH"):
+        elif word in UPDATES:
             q = self.update()
             while self.maybe(";"):
                 self.prologue()
                 if self.peek()[0] == "end":
                     break
                 q.then.append(self.update())
-        elif word in ("CONSTRUCT", "DESCRIBE"):
-            raise ValueError(f"SPARQL: {word} is not supported")
+        elif word == "CONSTRUCT":
+            q = self.construct()
+        elif word == "DESCRIBE":
+            q = self.describe()
         else:
             raise ValueError(f"SPARQL: no query begins with {word!r}")
         if self.peek()[0] != "end":
@@ -169,8 +173,50 @@ class _Parser:
             setattr(q, word.lower(), int(self.take()))
         return q
 
+    def construct(self) -> Query:
+        self.take("CONSTRUCT")
+        q, start = Query("construct"), self.at
+        if short := self.is_("WHERE"):
+            start = self.at + 1
+            self.take()
+        q.insert = self.quads(None)
+        if short:  # the pattern is the template
+            self.at = start
+        self.dataset(q)
+        self.maybe("WHERE")
+        q.where = self.group()
+        while word := self.maybe("LIMIT", "OFFSET"):
+            setattr(q, word.lower(), int(self.take()))
+        return q
+
+    def describe(self) -> Query:
+        self.take("DESCRIBE")
+        q = Query("describe", items=[])
+        while self.peek()[0] in ("var", "iri", "name"):
+            q.items.append(("", self.term()))
+        self.dataset(q)
+        self.maybe("WHERE")
+        if self.is_("{"):
+            q.where = self.group()
+        return q
+
+    def _graph(self) -> str:
+        if word := self.maybe("DEFAULT", "NAMED", "ALL"):
+            return word
+        self.maybe("GRAPH")
+        return self.term().value
+
     def update(self) -> Query:
         graph = None
+        if word := self.maybe("CLEAR", "DROP", "CREATE", "COPY", "MOVE", "ADD"):
+            self.maybe("SILENT")
+            q = Query("update", manage=(word, self._graph(), None))
+            if word in ("COPY", "MOVE", "ADD"):
+                self.take("TO")
+                q.manage = (word, q.manage[1], self._graph())
+            return q
+        if self.is_("LOAD"):
+            raise ValueError("SPARQL: LOAD is not supported; read the file with quadrel.sources.rdf and add its quads")
         if self.maybe("WITH"):
             graph = self.term()
         q = Query("update")
@@ -208,6 +254,7 @@ class _Parser:
                 inner = self.term()
                 self.take("{")
                 found += [(inner, *t) for t in self.triples()]
+                self.maybe(".")
                 self.take("}")
             else:
                 found += [(graph, *t) for t in self.triples()]
@@ -278,7 +325,7 @@ class _Parser:
         while True:
             s = self.term()
             while True:
-                p = Term("iri", RDF_TYPE) if self.peek() == ("word", "a") and self.take() else self.term()
+                p = self.path()
                 found.append((s, p, self.term()))
                 while self.maybe(","):
                     found.append((s, p, self.term()))
@@ -288,6 +335,23 @@ class _Parser:
                 return found
             self.take(".")
 
+    # a path is a Term, or a Call named / | ^ + * or ?
+
+    def path(self) -> Any:
+        return self._left(lambda: self._left(self._step, ("/",)), ("|",))
+
+    def _step(self) -> Any:
+        if self.maybe("^"):
+            return Call("^", (self._step(),))
+        if self.maybe("("):
+            p = self.path()
+            self.take(")")
+        else:
+            p = Term("iri", RDF_TYPE) if self.peek() == ("word", "a") and self.take() else self.term()
+        if self.is_("*", "?") or self.is_("+") and self.peek(1)[0] != "number":
+            p = Call(self.take(), (p,))
+        return p
+
     def term(self) -> Term:
         kind, text = self.peek()
         self.at += 1

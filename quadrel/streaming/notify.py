@@ -47,6 +47,13 @@ def subscribe(stream: DataFrame, checkpoint: str, on: dict[str, Callable[[DataFr
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def subscribe_by_iri(stream: DataFrame, checkpoint: str, db: object, t: Table, iri: str, on_update: Callable[[DataFrame], None], on_delete: Callable[[DataFrame], None] | None = None, once: bool = False, late: str = "1 hour") -> StreamingQuery:
+    """Calls on_update with the row as it is now when its document changes, on_delete with the events when it goes."""
+    again = lambda rows: on_update(reread(db, t, rows))
+    handlers = {"Create": again, "Update": again, **({"Delete": on_delete} if on_delete else {})}
+    return subscribe(stream, checkpoint, handlers, t, iri, once, late)
+
+
 def reread(db: object, t: Table, rows: DataFrame) -> DataFrame:
     """The rows of t as they are now, for the events' objects."""
     return db.frame(t).join(rows.select(F.col("object").alias("_iri")).distinct(), "_iri", "left_semi")
