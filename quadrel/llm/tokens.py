@@ -14,12 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrel.llm.base import scratch
 
 END = 0
+#: Parts whose bases are broadcast: 16 MB.
+PARTS = 1_000_000
+_ROW = "part int, at long, n long, ids array<int>"
 #: Words whose ids a Python worker remembers in each of two generations; a full one takes the older's place.
 REMEMBER = 500_000
 _DOUBLE_WHITE = re.compile(r"\s\s|^\s|\s\Z")
@@ -117,16 +121,19 @@ def id_lists(buffers: list[bytes]) -> pa.ListArray:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes doc_id, at (ids of the file before this document) and ids to ORC files at path, in ascending doc_id order.
-
-    Files and rows within them ascend; stripes hold integer run lengths, row indexes and a Bloom filter on
-    doc_id. The ids end with end_id. Null text counts as empty, a null doc_id comes first, repeated rows
-    are written each, an empty table writes no rows.
+    """Writes the token files below path, in ascending doc_id order.
+
+    path/ids: ORC files of doc_id, part (number of the stretch of doc_ids), at (ids of the part before this
+    document), n and ids. Parts and rows within them ascend; stripes hold integer run lengths, row indexes
+    and a Bloom filter on doc_id. path/parts: the ids of each part, a row for each. The ids end with end_id.
+    doc_id may be of any type that sorts. Null text counts as empty, a null doc_id comes first, rows with one
+    doc_id go by a hash of their text, repeated rows are written each, an empty table writes no rows. One
+    text's ids are held at once, however long. Other columns are ignored.
     """
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, before = encoder(tokenizer), 0
+        code, before, own = encoder(tokenizer), 0, TaskContext.get().partitionId()
         for b in batches:
             for k in range(0, b.num_rows, 256):  # long lists leave in small batches
                 part = b.slice(k, 256)
@@ -134,33 +141,38 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END,
                 sizes = np.array([len(x) // 4 for x in out])
                 at = before + np.cumsum(sizes) - sizes
                 before += int(sizes.sum())
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(at), id_lists(out)], ["doc_id", "at", "ids"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(np.full(len(at), own, np.int32)), pa.array(at), pa.array(sizes), id_lists(out)], ["doc_id", "part", "at", "n", "ids"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     kind = dict(rows.dtypes)["doc_id"]
     (
-        dealt.mapInArrow(run, f"doc_id {kind}, at long, ids array<int>")
+        dealt.mapInArrow(run, f"doc_id {kind}, {_ROW}")
         .write.option("orc.bloom.filter.columns", "doc_id").option("orc.row.index.stride", 2000)
-        .option("orc.stripe.size", 32 << 20).option("orc.compress", "zstd").orc(path)
+        .option("orc.stripe.size", 32 << 20).option("orc.compress", "zstd").orc(f"{path}/ids")
     )
+    spark = docs.sparkSession
+    sizes = spark.read.schema(f"doc_id {kind}, {_ROW}").orc(f"{path}/ids").groupBy("part").agg(F.sum("n").alias("n"))  # reads two narrow columns
+    sizes.write.orc(f"{path}/parts")
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it) and ids, from the files alone.
+def read_tokens(spark: SparkSession, path: str, id_kind: str = "long") -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and ids, from the files alone. No shuffle of ids.
 
-    A filter on doc_id skips stripes and row groups by their statistics and Bloom filters.
+    A filter on doc_id skips stripes and row groups by their statistics and Bloom filters. The base of each
+    part is broadcast while there are at most PARTS of them (16 bytes each), else joined.
     """
-    from pyspark.sql import Window
-
-    rows = spark.read.schema("doc_id long, at long, ids array<int>").orc(path).select("*", F.col("_metadata.file_name").alias("file"))
-    sizes = rows.groupBy("file").agg(F.max(F.col("at") + F.size("ids")).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each file
-    return rows.join(sizes.select("file", before.alias("base")), "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "ids")
+    rows = spark.read.schema(f"doc_id {id_kind}, {_ROW}").orc(f"{path}/ids")
+    parts = spark.read.schema("part int, n long").orc(f"{path}/parts")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each part
+    bases = parts.select("part", before.alias("base"))
+    bases = F.broadcast(bases) if parts.count() <= PARTS else bases
+    return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), F.col("n").alias("n_tokens"), "ids")
 
 
 def with_checksum(rows: DataFrame) -> DataFrame:
-    """rows of read_tokens with n_tokens and ids_crc32 instead of the ids."""
+    """rows of read_tokens with ids_crc32 instead of the ids, and n_tokens counted from the ids themselves."""
+    kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,7 +181,7 @@ def with_checksum(rows: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["start"], pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.select("doc_id", "start", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.select("doc_id", "start", "ids").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
@@ -177,4 +189,4 @@ def token_output(docs: DataFrame, tokenizer: str, path: str | None = None) -> Da
     spark = docs.sparkSession
     path = path or scratch(spark, "tokens")
     write_tokens(docs, path, tokenizer)
-    return read_tokens(spark, path)
+    return read_tokens(spark, path, dict(docs.dtypes)["doc_id"])
