@@ -458,6 +458,39 @@ def exact_by_short_id(db):
     return db.query(NATION).find_by_resource("7", columns=["n_nationkey", "n_name"])
 
 
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (5, 6, 77)")
+def exact_by_iris(db):
+    return db.query(CUSTOMER).find_by_iris([f"{HOME}customer#{k}" for k in (5, 6, 77, 10**12)], columns=["c_custkey", "c_name"])
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0 ORDER BY c_acctbal, c_custkey LIMIT 1")
+def rel_first(db):
+    row = db.query(CUSTOMER).find_first(where=gt(CUSTOMER.c.c_acctbal, 0), order_by=("c_acctbal", "c_custkey"))
+    return db.spark.createDataFrame([(row["c_custkey"], row["c_name"])], "c_custkey long, c_name string")
+
+
+@query("SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds, min(value) AS value FROM events GROUP BY user_id")
+def rel_merged_subjects(db):
+    """Events as several rows of one subject each, merged before they are loaded."""
+    users = table("users", {"user_id": key("bigint"), "kinds": string().array(), "value": double()}, NS + "User", namespace=NS, base=HOME + "users", template="#{id}")
+    db.bind(users, db.frames["events"].select("user_id", F.array("event_type").alias("kinds"), "value"))
+    return db.query(users).merged().select("user_id", F.array_join("kinds", ",").alias("kinds"), "value")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 12")
+def order_by_id(db):
+    return db.select(o_orderkey="o_orderkey").from_(ORDERS).order_by(desc(ORDERS.c.o_orderkey)).limit(12).df()
+
+
+@query("SELECT event_id, value FROM events WHERE event_type = 'click'")
+def layout_pruned(db):
+    """Events in folders by kind; an equality on the template's variable reads one folder."""
+    t = table("filed", {"event_id": key("bigint"), "event_type": string(), "value": double()}, NS + "Event", namespace=NS, base=HOME + "filed", template="{event_type}/log.ttl#{id}")
+    at = layout.scratch(db.spark, "filed")
+    layout.write_table(db.frames["events"].select("event_id", "event_type", "value"), t, at)
+    return layout.read_table(db.spark, t, at, event_type="click").select("event_id", "value")
+
+
 # ---- identifiers
 
 
@@ -517,6 +550,12 @@ def quads_graph_scan(db):
     return quads.graph_scan(_quads(db, NATION, REGION), HOME + "nation").groupBy("g").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT 'n_name' AS p, n_name AS o FROM nation WHERE n_nationkey = 7 UNION ALL SELECT 'n_regionkey', n_regionkey::varchar FROM nation WHERE n_nationkey = 7 UNION ALL SELECT 'type', '{NS}Nation'")
+def quads_read_subject(db):
+    rows = quads.read_subject(_quads(db, NATION, REGION), HOME + "nation#7", HOME + "nation")
+    return rows.select(F.regexp_replace("p", "^.*#", "").alias("p"), "o")
+
+
 # ---- SPARQL
 
 
@@ -550,6 +589,8 @@ _sparql("sparql_graph", f"SELECT ?name WHERE {{ GRAPH <{HOME}region> {{ ?s v:r_n
 _sparql("sparql_ask", "ASK { ?r v:r_name 'ASIA' }", "SELECT count(*) > 0 AS result FROM region WHERE r_name = 'ASIA'")
 
 
+_sparql("sparql_strings", "SELECT ?up ?low ?len ?part ?both ?swap ?before WHERE { ?c v:c_name ?name . BIND(UCASE(?name) AS ?up) BIND(LCASE(?name) AS ?low) BIND(STRLEN(?name) AS ?len) BIND(SUBSTR(?name, 10, 4) AS ?part) BIND(CONCAT(?name, '-', ?part) AS ?both) BIND(REPLACE(?name, '0+', 'o') AS ?swap) BIND(STRBEFORE(?name, '#') AS ?before) }",
+        "SELECT upper(c_name) AS up, lower(c_name) AS low, length(c_name) AS len, substr(c_name, 10, 4) AS part, c_name || '-' || substr(c_name, 10, 4) AS both, regexp_replace(c_name, '0+', 'o', 'g') AS swap, split_part(c_name, '#', 1) AS before FROM customer", {"len": "bigint"})
 _sparql("sparql_optional_join", "SELECT ?name ?k WHERE { ?c v:c_name ?name ; v:c_acctbal ?bal . OPTIONAL { ?c v:c_nationkey ?k . FILTER(?bal > 5000) } ?c v:c_nationkey ?k }",
         "SELECT c_name AS name, c_nationkey::bigint AS k FROM customer", {"k": "bigint"})
 _sparql("sparql_path", "SELECT DISTINCT ?name WHERE { ?n v:n_name|v:r_name ?name . ?n a/^a ?other . ?other v:r_name ?any }", "SELECT DISTINCT r_name AS name FROM region")
@@ -616,6 +657,14 @@ def mut_set_null(db):
     return db.frames["supplier"]
 
 
+@query("SELECT s_suppkey, CASE WHEN s_suppkey = 3 THEN 'third' ELSE s_name END AS s_name FROM supplier WHERE s_suppkey <> 4")
+def mut_by_resource(db):
+    mutations.update_by_iri(db, SUPPLIER, HOME + "supplier#3", {"s_name": "other"})
+    mutations.update_by_resource(db, SUPPLIER, "3", {"s_name": "third"})
+    mutations.delete_by_resource(db, SUPPLIER, HOME + "supplier#4")
+    return db.frames["supplier"].select("s_suppkey", "s_name")
+
+
 @query(f"SELECT {_SUPPLIER} FROM supplier WHERE NOT (s_acctbal < 0)")
 def mut_delete(db):
     db.delete(SUPPLIER).where(lt(SUPPLIER.c.s_acctbal, 0)).run()

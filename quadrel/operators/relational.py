@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from quadrel.functions.aggregates import Order
-from quadrel.functions.predicates import and_, ends_with, eq, or_
+from quadrel.functions.predicates import and_, ends_with, eq, in_array, or_
 from quadrel.operators.identity import is_absolute
 from quadrel.plans.select import Select
 from quadrel.schema import Relation, Table
@@ -128,6 +128,16 @@ class Finder:
     def find_by_iri(self, iri: str, **options: Any) -> DataFrame:
         return self.find_many(**options, subject=eq(self.table.c["_iri"], iri))
 
+    def find_by_iris(self, iris: list[str], **options: Any) -> DataFrame:
+        """The rows of several subjects; those that do not exist are left out."""
+        return self.find_many(**options, subject=in_array(self.table.c["_iri"], iris))
+
+    def merged(self) -> DataFrame:
+        """One row for each subject where the frame holds several: lists are united, of other values the smallest counts."""
+        df, t = self.db.frame(self.table), self.table
+        one = lambda n, c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.col(f"`{n}`"))))) if c.is_array else F.min(F.col(f"`{n}`"))
+        return df.groupBy("_iri").agg(*(one(n, c).alias(n) for n, c in t.columns.items())).select(*(F.col(f"`{n}`") for n in t.columns), "_iri")
+
     def find_by_id(self, value: Any, **options: Any) -> DataFrame:
         return self.find_many(**options, subject=eq(self.table.c[self.table.pk], value))
 

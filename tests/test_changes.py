@@ -270,3 +270,29 @@ def test_row_problems(spark):
     assert validation.row_problems(t, df.select("ok").limit(1), update=True).count() == 0
     found = validation.row_problems(t, spark.createDataFrame([("a", None)], "tags string, n string"), update=True)
     assert sorted(r.problem for r in found.collect()) == ["is no list", "must have a value"]
+
+
+# ---- places on storage, streams
+
+
+def test_a_layout_reads_one_folder(spark, tmp_path):
+    t = table("filed", {"id": key(), "kind": string(), "createdAt": timestamp()}, NS + "F", namespace=NS, base="http://t.example/filed", template="{kind}/{yyyy}/{MM}/log.ttl#{id}")
+    df = spark.createDataFrame([(str(k), "ab"[k % 2], f"2024-0{1 + k % 3}-01") for k in range(12)], "id string, kind string, at string").select("id", "kind", F.col("at").cast("timestamp").alias("createdAt"))
+    path = f"file://{tmp_path}/filed"
+    layout.write_table(df, t, path)
+    found = layout.read_table(spark, t, path, kind="a")
+    assert found.count() == 6 and all("kind=a" in f for f in found.inputFiles()) or "PartitionFilters: [isnotnull(kind" in plan(found)
+    listed = layout.list_container(spark, path).collect()
+    assert len([r for r in listed if r.path.endswith(".parquet")]) >= 6 and all(r.size > 0 for r in listed if r.path.endswith(".parquet"))
+
+
+def test_one_document_is_watched(spark, db, tmp_path):
+    from quadrel.streaming import notify
+
+    at = str(tmp_path)
+    events = [("1", "Update", "http://t.example/items#a", "2024-01-01", ""), ("2", "Delete", "http://t.example/items#b", "2024-01-01", ""), ("3", "Update", "http://t.example/other#z", "2024-01-01", ""), ("1", "Update", "http://t.example/items#a", "2024-01-01", "")]
+    spark.createDataFrame(events, "id string, type string, object string, published string, state string").withColumn("published", F.col("published").cast("timestamp")).write.parquet(f"{at}/in")
+    seen, gone = [], []
+    q = notify.subscribe_by_iri(notify.events(spark, f"{at}/in"), f"{at}/checkpoint", db, ITEMS, "http://t.example/items#a", lambda rows: seen.extend(r.id for r in rows.collect()), lambda rows: gone.extend(r.object for r in rows.collect()), once=True)
+    q.awaitTermination()
+    assert seen == ["a"] and gone == ["http://t.example/items#b"]
