@@ -17,13 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def splittable(df: DataFrame, column: str) -> DataFrame:
-    """df, an aggregate, dealt out by another column than the one it is about to be joined by.
+def splittable(df: DataFrame, *keys: str) -> DataFrame:
+    """df, an aggregate by the keys that it is about to be joined by, dealt out by a hash of them.
 
     The join then has a plain shuffle on either side, and adaptive execution splits the other side at a hot key.
-    Right above an aggregate by the join's own key it can't.
+    Right above an aggregate by the join's own keys it can't.
     """
-    return df.repartition(column)
+    return df.repartition(F.xxhash64(*keys))
 
 
 def whole_text(column: str = "text") -> Column:

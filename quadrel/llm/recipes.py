@@ -58,7 +58,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     keyed = verified_keys(written(recipes(docs, id_col, text_col), "recipes"))
     groups = keyed.groupBy("key").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    rows = keyed.join(splittable(groups, "keep_id"), "key", "left")
+    rows = keyed.join(splittable(groups, "key"), "key", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return rows.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 

@@ -4,8 +4,8 @@ Two steps keep the text from being multiplied. First, each 50-byte string is nam
 least hash of the 20-byte strings in it); only minimizers that two documents share can stand for a match.
 Then runs of strings with one shared minimizer travel to that minimizer's bucket, and there a logarithmic
 index family decides exactly, on the bytes: documents arrive in order of doc_id in batches, each batch gets
-a sorted suffix array (suffixes cut at the match length), is merge-scanned against the existing levels,
-and levels of equal size merge geometrically.
+a suffix array (places in its text, suffixes compared as far as the match length), is merge-scanned against
+the existing levels, and levels of about equal size merge geometrically.
 """
 
 from __future__ import annotations
@@ -19,14 +19,22 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrel.llm.base import whole_text, written
+from quadrel.llm.base import splittable, whole_text, written
 
 LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
 #: Text for each bucket of minimizers, text hashed at once, and 50-byte strings of a batch of the index.
 BUCKET_BYTES, SLICE_BYTES, BATCH = 16 << 20, 4 << 20, 400_000
-#: Runs that a task remembers having sent on; once so many are known it starts afresh.
-SENT = 20_000
+#: Strings of a level that are looked at together.
+SCAN = 1 << 16
+#: Runs that a task remembers having sent on, and shared names that it remembers; once so many are known it starts afresh.
+SENT, KNOWN = 20_000, 500_000
+#: Buckets of names in a task, and shared names that it holds before it sends them on.
+TOGETHER, ANSWER = 4, 4_000_000
+#: Partitions of a shuffle at most; with more buckets, each holds several, one after the other.
+PARTS = 50_000
+#: Strings whose minimizers are computed at once.
+STRETCH = 1 << 17
 LOWEST = -(1 << 63)
 
 
@@ -37,7 +45,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def minimizers(data: np.ndarray) -> np.ndarray:
-    """For each LENGTH-byte string of the data, the least hash of the GRAM-byte strings in it."""
+    """For each LENGTH-byte string of the data, the least hash of the GRAM-byte strings in it. Stretch by stretch, for little memory."""
+    n = len(data) - LENGTH + 1
+    if n <= STRETCH:
+        return _minimizers(data)
+    return np.concatenate([_minimizers(data[k : k + STRETCH + LENGTH - 1]) for k in range(0, n, STRETCH)])
+
+
+def _minimizers(data: np.ndarray) -> np.ndarray:
     size, need, gram, at = 1, GRAM, None, 0
     parts = {1: data.astype(np.uint64) + np.uint64(1)}
     powers = {2**k: np.uint64(pow(0x100000001B3, 2**k, 1 << 64)) for k in range(GRAM.bit_length())}
@@ -95,11 +110,18 @@ def _code_of(low: np.ndarray) -> np.ndarray:
     return low.view(np.int64)
 
 
+def _dealt(df: DataFrame, parts: int) -> DataFrame:
+    """df with as many buckets in each of the partitions: by their numbers, as hashes of so few would meet."""
+    parts = min(parts, PARTS)
+    return df.repartitionById(parts, F.col("bucket") % F.lit(parts))
+
+
 def _shared_names(docs: DataFrame, buckets: int) -> DataFrame:
     """owner, codes: minimizers of a document that another one has too, in packed lists."""
     names = ["bucket", "owner", "owners", "codes"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = np.zeros(0, np.int64)  # names that two documents of a slice had: their buckets know of both
         for b in batches:
             owners, texts = np.asarray(b["owner"]), [t.encode() for t in b["text"].to_pylist()]
             for i, j in _slices([len(t) for t in texts]):
@@ -111,11 +133,15 @@ def _shared_names(docs: DataFrame, buckets: int) -> DataFrame:
                 own, code = own[fresh], code[fresh]
                 head = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, int)
                 group = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(code)]))
-                many = np.bincount(group, minlength=len(head))[group] > 1
+                several = np.bincount(group, minlength=len(head)) > 1
+                told = several | np.isin(code[head], shared, assume_unique=True)
+                fresh = several & ~np.isin(code[head], shared, assume_unique=True)
+                many = told[group]
                 rank = np.arange(len(code)) - head[group]
                 rows: list[tuple] = []
-                # of a name that several documents here share, two go on; all are told so at once
-                send = rank < 2
+                # of a name that several documents here share, two go on, once a task; all are told so at once
+                send = (rank < 2) & (fresh | ~told)[group]
+                shared = np.union1d(shared, code[head][fresh]) if len(shared) < KNOWN else code[head][fresh]
                 part = (code[send].view(np.uint64) >> np.uint64(8)) % np.uint64(buckets)
                 at = np.argsort(part, kind="stable")
                 o, c, p = own[send][at], code[send][at], part[at]
@@ -133,37 +159,52 @@ def _shared_names(docs: DataFrame, buckets: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(owners: list[bytes], codes: list[bytes]) -> pa.RecordBatch | None:
+        told: list[tuple[np.ndarray, np.ndarray]] = []  # owners and their shared names, of several buckets
+
+        def found(owners: list[bytes], codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             own, code = np.frombuffer(b"".join(owners), np.int64), np.frombuffer(b"".join(codes), np.int64)
             order = np.lexsort((own, code))
             own, code = own[order], code[order]
             head = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
             sizes = np.diff(np.r_[head, len(code)])
             differ = np.repeat(own[head] != own[head + sizes - 1], sizes)
-            own, code = own[differ], code[differ]
+            return own[differ], code[differ]
+
+        def answer() -> pa.RecordBatch:
+            """A row for each owner."""
+            own, code = (np.concatenate(x) for x in zip(*told, strict=True))
+            told.clear()
             order = np.argsort(own, kind="stable")
             own, code = own[order], code[order]
             cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, int)
             ends = np.r_[cut[1:], len(own)]
             return pa.RecordBatch.from_arrays([pa.array(own[cut]), pa.array([code[x:y].tobytes() for x, y in zip(cut, ends, strict=True)], pa.binary())], ["owner", "codes"])
 
-        at, owners, codes = None, [], []
+        at, owners, codes, held = None, [], [], 0
         for b in batches:
             for bucket, owner, many, code in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bucket != at and owners:
-                    yield found(owners, codes)
+                    told.append(found(owners, codes))
+                    held += len(told[-1][0])
                     owners, codes = [], []
+                if held >= ANSWER:
+                    yield answer()
+                    held = 0
                 at = bucket
                 if owner is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([owner], pa.int64()), pa.array([code], pa.binary())], ["owner", "codes"])
+                    told.append((np.full(len(code) // 8, owner), np.frombuffer(code, np.int64)))
+                    held += len(code) // 8
                 else:
                     owners.append(many)
                     codes.append(code)
         if owners:
-            yield found(owners, codes)
+            told.append(found(owners, codes))
+        if told:
+            yield answer()
 
     sent = docs.select("owner", "text").mapInArrow(emit, "bucket int, owner long, owners binary, codes binary")
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "owner long, codes binary")
+    # several buckets meet in a task, so that an owner's shared names go on in few rows
+    return _dealt(sent, max(-(-buckets // TOGETHER), min(buckets, 8))).sortWithinPartitions("bucket").mapInArrow(meet, "owner long, codes binary")
 
 
 def _runs_to_check(docs: DataFrame) -> DataFrame:
@@ -212,40 +253,76 @@ def _runs_to_check(docs: DataFrame) -> DataFrame:
     return docs.select("owner", "mark", "text", "codes").mapInArrow(run, "code long, owner long, mark long, start long, to long, bytes binary")
 
 
+class SuffixArray:
+    """Places of distinct strings in a text, in the order of the LENGTH bytes that begin there. The bytes are stored once."""
+
+    def __init__(self, text: np.ndarray, at: np.ndarray) -> None:
+        self.text, self.at = text, at
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def strings(self, i: int, j: int) -> np.ndarray:
+        return _strings(self.text, self.at[i:j])
+
+    def places_of(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of these sorted strings, where it is or would be, and whether it is there: one scan of both, block by block."""
+        place, there = np.zeros(len(strings), np.int64), np.zeros(len(strings), bool)
+        low = 0
+        for k in range(0, len(self), SCAN):
+            last = min(k + SCAN, len(self))
+            ends = len(strings) if last == len(self) else low + int(np.searchsorted(strings[low:], self.strings(last - 1, last)[0], "right"))
+            if ends > low:
+                block, own = self.strings(k, last), strings[low:ends]
+                at = np.searchsorted(block, own)
+                place[low:ends] = k + at
+                there[low:ends] = block[np.minimum(at, len(block) - 1)] == own
+                low = ends
+        return place, there
+
+    def merged(self, other: SuffixArray) -> SuffixArray:
+        """Both in one order; no string is in both."""
+        place = np.concatenate([self.places_of(other.strings(k, k + SCAN))[0] for k in range(0, len(other), SCAN)])
+        return SuffixArray(np.concatenate([self.text, other.text]), np.insert(self.at, place, other.at + len(self.text)))
+
+
 class IndexFamily:
-    """Sorted arrays of distinct strings, each level at least twice as large as the next."""
+    """Suffix arrays of distinct strings, each level at least twice as large as the next."""
 
     def __init__(self) -> None:
-        self.levels: list[np.ndarray] = []
+        self.levels: list[SuffixArray] = []
 
-    def known(self, suffixes: np.ndarray) -> np.ndarray:
+    def known(self, strings: np.ndarray) -> np.ndarray:
         """Which of these sorted strings some level holds."""
-        found = np.zeros(len(suffixes), bool)
+        found = np.zeros(len(strings), bool)
         for level in self.levels:
-            at = np.minimum(np.searchsorted(level, suffixes), len(level) - 1)
-            found |= level[at] == suffixes
+            found |= level.places_of(strings)[1]
         return found
 
-    def add(self, suffixes: np.ndarray) -> None:
-        """A new level of sorted strings that no level holds; levels as large merge with it."""
-        while len(suffixes) and self.levels and len(self.levels[-1]) < 2 * len(suffixes):
-            suffixes = np.sort(np.concatenate([self.levels.pop(), suffixes]), kind="stable")
-        if len(suffixes):
-            self.levels.append(suffixes)
+    def add(self, new: SuffixArray) -> None:
+        """A new level of strings that no level holds; levels as large merge with it."""
+        while len(new) and self.levels and len(self.levels[-1]) < 2 * len(new):
+            new = self.levels.pop().merged(new)
+        if len(new):
+            self.levels.append(new)
+
+
+def _strings(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, LENGTH)[at]).view(f"S{LENGTH}").ravel()
 
 
 def repeated(index: IndexFamily, owner: np.ndarray, rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """For one batch of runs in order of owner: each string's row, and whether a smaller owner has it. Adds the batch to the index."""
-    offsets = np.asarray(rows.offsets).astype(np.int64) if hasattr(rows, "offsets") else np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64)
-    data = np.frombuffer(rows.buffers()[2], np.uint8)
+    offsets = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64)
+    data = np.frombuffer(rows.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].copy()
+    offsets -= offsets[0]
     count = np.diff(offsets) - LENGTH + 1
     row = np.repeat(np.arange(len(rows)), count)
     at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + offsets[:-1][row]
-    strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at]).view(f"S{LENGTH}").ravel()
-    suffixes, first, back = np.unique(strings, return_index=True, return_inverse=True)
-    known = index.known(suffixes)
+    strings, first, back = np.unique(_strings(data, at), return_index=True, return_inverse=True)
+    known = index.known(strings)
     seen = known[back] | (owner[row] > owner[row[first]][back])
-    index.add(suffixes[~known])
+    index.add(SuffixArray(data, at[first[~known]]))
     return row, seen
 
 
@@ -299,7 +376,7 @@ def _covered(runs: DataFrame, buckets: int) -> DataFrame:
             yield flush()
 
     dealt = runs.withColumn("bucket", F.pmod(F.shiftright("code", 8), F.lit(buckets)).cast("int")).select("bucket", "owner", "mark", "start", "to", "bytes")
-    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "owner").mapInArrow(check, "owner long, mark long, from long, to long")
+    return _dealt(dealt, buckets).sortWithinPartitions("bucket", "owner").mapInArrow(check, "owner long, mark long, from long, to long")
 
 
 def _finish(rows: DataFrame, with_spans: bool) -> DataFrame:
@@ -331,16 +408,18 @@ def _finish(rows: DataFrame, with_spans: bool) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and spans, kept with with_spans).
 
-    Null text counts as empty. A null doc_id sorts below all others. Rows of one doc_id never match each
-    other; repeated rows are judged alike. Texts under 50 bytes keep everything. A text that equals one of
-    a smaller doc_id byte for byte is settled by its digest and sent nowhere. An empty table gives no rows.
+    doc_id is a whole number (or text that reads as one). Null text counts as empty. A null doc_id sorts below
+    all others. Rows of one doc_id never match each other; repeated rows are judged alike. Texts under 50 bytes
+    keep everything; a longer one, of any length, is held by one task. A text that equals one of a smaller
+    doc_id byte for byte is settled by its digest and sent nowhere. An empty table gives no rows. Other columns of
+    docs, whatever their names, are ignored.
     """
     owner = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
     rows = docs.select(owner.alias("owner"), whole_text(text_col).alias("text"))
     marked = rows.select("owner", F.xxhash64("text").alias("mark"), "text")
     heads = written(marked.select("owner", "mark", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("n")), "digests")
     firsts = heads.groupBy("digest").agg(F.min("owner").alias("first"), F.max("owner").alias("last")).filter("first < last").select("digest", "first")
-    copies = heads.join(firsts, "digest").filter("owner > first").groupBy("owner").agg(F.collect_set("mark").alias("copied"))
+    copies = heads.join(splittable(firsts, "digest"), "digest").filter("owner > first").groupBy("owner").agg(F.collect_set("mark").alias("copied"))
     copies = written(copies, "copies")
     total = heads.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
