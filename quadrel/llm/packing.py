@@ -103,7 +103,8 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END,
     """doc_id, piece, start, length, ids_crc32 (and ids) of each document's pieces of at most `size` ids.
 
     A longer document is cut so that all pieces but the first are full. Null text counts as empty: one
-    piece that holds end_id alone.
+    piece that holds end_id alone. Repeated rows are cut each; an empty table gives no rows; other columns,
+    whatever their names, are ignored. One text's ids are held at once, however long.
     """
     end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
@@ -131,7 +132,9 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END,
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of all documents with sequence_id and offset; sequences have no gaps and at most `size` ids.
 
-    Repeated rows are packed each. An empty table gives no rows. Other columns of docs are ignored.
+    Repeated rows are packed each, null and empty texts as their end id. Pieces of one length are taken in order of a
+    hash, then doc_id (nulls first). An empty table gives no rows. Other columns of docs, whatever their
+    names, are ignored.
     """
     spark = docs.sparkSession
     found = written(pieces(docs, tokenizer, size, with_ids=with_ids, id_col=id_col, text_col=text_col), "pieces")

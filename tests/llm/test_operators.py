@@ -407,6 +407,35 @@ def test_blocks_find_every_link(spark, monkeypatch):
     assert bag(map(tuple, nearjoin.near_classes(frame).collect())) == bag(plain_classes(docs))
 
 
+@pytest.mark.parametrize("by_bucket", [False, True, None])
+def test_large_components_by_blocks_and_by_buckets(spark, monkeypatch, by_bucket):
+    """A long chain of near copies, a group of many, and pairs: each link counts once whichever way it is found."""
+    monkeypatch.setattr(nearjoin, "BLOCK_DOCS", 6)
+    words = [f"w{k}" for k in range(700)]
+    chain = [(k, " ".join(words[4 * k : 4 * k + 160])) for k in range(70)]
+    group = [(1000 + k, " ".join([*(f"g{j}" for j in range(120)), f"end{k}"])) for k in range(25)]
+    plain = chain + group + [(2000 + k, prose(k // 2, 90) + f" x{k}") for k in range(20)]
+    docs = spark.createDataFrame(plain, "doc_id long, text string").repartition(3)
+    bands, rows = nearjoin.choose_bands()
+    signed = nearjoin.signatures(docs, 5, bands, rows).withColumn("rep_id", F.col("doc_id")).withColumn("node", F.col("doc_id"))
+    reps = nearjoin.written(signed.drop("doc_id"), "reps")
+    comps = nearjoin.candidate_components(reps)
+    found = nearjoin.verified(docs, reps, comps, 5, 0.8, by_bucket).groupBy("node").agg(F.sum("links").alias("n")).collect()
+    expected = {c[0]: c[2] for c in plain_classes(plain) if c[2]}
+    got = {r.node: r.n for r in found}
+    assert set(got) == set(expected) and sum(got.values()) >= 0.99 * sum(expected.values()) and all(got[k] <= expected[k] for k in got)
+    used = {p.band for r in nearjoin.places(reps, comps, by_bucket).collect() for p in r.places}
+    assert (used == {-1}) if by_bucket is False else max(used) >= 0 if by_bucket else True
+
+
+def test_recall_of_the_join(spark):
+    """Links found of all links at the threshold, on the thousand documents of the next size."""
+    sf = "/root/testdata/sf0.01"
+    found = {r.doc_id: r.n_links for r in nearjoin.near_classes(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    expected = {c[0]: c[2] for c in plain_classes(texts(sf))}
+    assert all(found[k] <= n for k, n in expected.items()) and sum(found.values()) >= 0.99 * sum(expected.values())
+
+
 def test_bands_and_components(spark):
     bands, per = nearjoin.choose_bands(0.8, 0.999, 144)
     assert bands * per <= 144 and 1 - (1 - 0.8**per) ** bands >= 0.999
@@ -708,6 +737,27 @@ def test_isolation_forest():
     assert rules.repeated_words(list("abcabcabd")) == (plain_stats(" ".join("abcabcabd"))[4], 4)
 
 
+# ---- very long texts
+
+
+def test_a_text_of_several_megabytes(spark):
+    long = prose(7, 700_000)
+    plain = [(1, long), (2, long.upper()), (3, prose(8, 60)), (4, long[: len(long) // 2])]
+    docs = spark.createDataFrame(plain, "doc_id long, text string").repartition(2)
+    assert len(long) > 3_500_000
+    assert bag(map(tuple, recipes.exact_groups(docs).collect())) == bag(plain_copies(plain))
+    assert bag(tuple(r)[:6] for r in licenses.scan(docs).collect()) == bag((i, *plain_base(t)) for i, t in plain)
+    fitted = rules.fit_rules(docs, spark.createDataFrame([(3, 1)], "doc_id long, quality int"))
+    assert bag(tuple(r)[:7] for r in rules.judge(docs, fitted).collect()) == bag((i, *plain_stats(t)) for i, t in plain)
+    assert {r.doc_id: r.class_id for r in nearjoin.near_classes(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    found = {r.doc_id: r for r in repeats.remove_repeats(docs).collect()}
+    assert found[4].n_removed == found[4].n_bytes == len(plain[3][1]) and found[1].n_removed == found[2].n_removed == 0
+    assert {r.doc_id: r.span_list for r in pii.digest(docs).collect()} == {i: [] for i, _ in plain}
+    ids = {i: len(plain_ids(t)) for i, t in plain}
+    assert {r.doc_id: r.n_tokens for r in tokens.with_checksum(tokens.token_output(docs, BYTE)).collect()} == ids
+    assert sum(r.length for r in packing.pack(docs, BYTE).collect()) == sum(ids.values())
+
+
 # ---- the registered queries
 
 
