@@ -99,7 +99,7 @@ def test_sparql(spark, db):
     assert sparql(db, "INSERT DATA { <http://t.example/docs#c> a v:Doc ; v:name 'C' } ; DELETE DATA { <http://t.example/docs#a> v:age 3 }") == [(2, 1)]
     assert sparql(db, "DELETE { ?s v:name ?n } INSERT { ?s v:name ?u } WHERE { ?s v:name ?n BIND(UCASE(?n) AS ?u) FILTER(?n != ?u) }") == [(2, 2)]
     assert sorted(r.name for r in quads.type_scan(db.quads, DOC).collect()) == ['ANN "Q"', "BOB\nLINE", "C"]
-    for text, match in (("SELECT a FROM b", "SQL"), ("CONSTRUCT { ?a ?b ?c } WHERE { ?a ?b ?c }", "not supported"), ("", "needed"), ("SELECT ?x WHERE { ?x nope:y 1 }", "prefix")):
+    for text, match in (("SELECT a FROM b", "SQL"), ("LOAD <http://t.example/x>", "not supported"), ("", "needed"), ("SELECT ?x WHERE { ?x nope:y 1 }", "prefix")):
         with pytest.raises(ValueError, match=match):
             db.sparql(text)
 
