@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrel.llm.base import written
+from quadrel.llm.base import splittable, written
 
 
 def _least(pairs: DataFrame) -> DataFrame:
     """Pairs u, v with m: the smallest node among u and all v of it."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return pairs.join(least, "u")
+    return pairs.join(splittable(least, "u"), "u")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 """Operator 7, n-gram Jaccard join: MinHash bands find candidates, full n-gram sets verify them.
 
 Documents with the same n-gram set are one class and are joined once. Representatives that share a band
-are connected (by stars, never by all pairs); sets are sent once to their candidate component, in blocks
-of bounded size, and compared there. Links are counted where they are found, so no pair becomes a row.
+are connected (by stars, never by all pairs). Full sets are compared in blocks of bounded size, and links
+are counted where they are found, so no pair becomes a row. A component that fits one block is sent there
+once. A larger one goes the cheaper way of two: to blocks of the whole component (a group of copies that
+share most bands), or to its band buckets (a chain of chance meetings), where a pair counts in the first
+band that it shares.
 """
 
 from __future__ import annotations
@@ -12,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrel.llm.base import written
+from quadrel.llm.base import splittable, written
 from quadrel.llm.graph import components
 
 WORDS, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.999, 144
@@ -100,14 +103,15 @@ def candidate_components(reps: DataFrame) -> DataFrame:
     """node, comp of the representatives that share a band with another, directly or through others."""
     keys = reps.select("node", F.posexplode("bands").alias("band", "hash"))
     buckets = keys.groupBy("band", "hash").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("band", "hash", "least")
-    stars = keys.join(buckets, ["band", "hash"]).filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    stars = keys.join(splittable(buckets, "band", "hash"), ["band", "hash"]).filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
     return components(stars).select("node", F.col("root").alias("comp"))
 
 
-def compare(nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], threshold: float, across: bool) -> tuple[np.ndarray, np.ndarray]:
+def compare(nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], threshold: float, across: bool, earlier: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links of each node in the block, and the smallest node that it hangs together with there.
 
-    across: only pairs of different sides count, else all pairs.
+    across: only pairs of different sides count, else all pairs. earlier: a row of band hashes for each node;
+    a pair that shares one of them counts elsewhere.
     """
     n, sizes = len(nodes), np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
@@ -130,6 +134,8 @@ def compare(nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], thresh
         near[i] = False
         if across:
             near &= sides != sides[i]
+        if earlier is not None and near.any():
+            near[near] = ~(earlier[near] == earlier[i]).any(1)
         links[i] = near.sum()
         if links[i]:
             near[i] = True
@@ -142,45 +148,80 @@ def compare(nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], thresh
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Rows that follow each other with the same comp, i, j."""
+    """Rows that follow each other with the same place, band, i, j."""
     key, rows = None, []
     for b in batches:
-        for comp, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if key != (comp, i, j):
+        for place, band, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if key != (place, band, i, j):
                 if rows:
                     yield key, rows
-                key, rows = (comp, i, j), []
+                key, rows = (place, band, i, j), []
             rows.append(row)
     if rows:
         yield key, rows
 
 
-def verified(docs: DataFrame, reps: DataFrame, comps: DataFrame, n: int, threshold: float) -> DataFrame:
+def _parts(n: Column, grams: Column) -> Column:
+    """Into how many sides so many documents and n-grams go."""
+    return F.greatest(F.ceil(n / F.lit(BLOCK_DOCS)), F.ceil(grams / F.lit(BLOCK_GRAMS))).cast("int")
+
+
+def places(reps: DataFrame, comps: DataFrame, by_bucket: bool | None = None) -> DataFrame:
+    """node and its places: place (a component, or a band bucket), band (-1 or the bucket's), parts (sides of the place).
+
+    by_bucket: None chooses the cheaper way for each component of several blocks, by the n-grams sent.
+    """
+    sized = comps.join(reps.select("node", "size"), "node")
+    total = sized.groupBy("comp").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
+    total = written(total.withColumn("parts", _parts(F.col("n"), F.col("grams"))), "components")
+    whole = F.struct(F.col("comp").alias("place"), F.lit(-1).alias("band"), "parts")
+    if by_bucket is False or total.filter("parts > 1").isEmpty():
+        return comps.join(total, "comp").select("node", F.array(whole).alias("places"))
+    large = comps.join(total.filter("parts > 1"), "comp").select("node", "comp")
+    keys = large.join(reps.select("node", "size", F.posexplode("bands").alias("band", "hash")), "node")
+    buckets = keys.groupBy("comp", "band", "hash").agg(F.count("*").alias("n"), F.sum("size").alias("grams")).filter("n > 1")
+    buckets = written(buckets.withColumn("parts", _parts(F.col("n"), F.col("grams"))), "buckets")
+    cost = buckets.groupBy("comp").agg(F.sum(F.col("grams") * F.col("parts")).alias("cost"))
+    cheaper = F.col("cost") < F.col("grams") * F.col("parts") if by_bucket is None else F.lit(True)
+    split = total.join(cost, "comp").filter(cheaper).select("comp")
+    own = keys.select("node", "band", "hash").join(splittable(buckets.join(split, "comp", "left_semi").select("band", "hash", "parts"), "band", "hash"), ["band", "hash"])
+    place = F.struct(F.xxhash64("band", "hash").alias("place"), "band", "parts")
+    split_places = own.groupBy("node").agg(F.collect_list(place).alias("places"))  # a place for each band at most
+    kept = total.join(split, "comp", "left_anti")
+    return comps.join(splittable(kept, "comp"), "comp").select("node", F.array(whole).alias("places")).unionByName(split_places)
+
+
+def verified(docs: DataFrame, reps: DataFrame, comps: DataFrame, n: int, threshold: float, by_bucket: bool | None = None) -> DataFrame:
     """node, links, root from each block: full sets of the representatives, compared."""
-    sized = comps.join(reps.select("node", "rep_id", "key", "size"), "node")
-    total = sized.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_DOCS)), F.ceil(F.sum("size") / F.lit(BLOCK_GRAMS))).cast("int").alias("parts"))
-    wanted = sized.join(total, "comp").withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("size")
+    at = written(places(reps, comps, by_bucket), "places")
+    wanted = at.join(reps.select("node", "rep_id", "key", "bands"), "node")
+    # hashes tell whose pair it is where bands are buckets; else they are not sent on
+    wanted = wanted.withColumn("bands", F.when(F.element_at("places", 1)["band"] >= 0, F.col("bands")))
     kept = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id")))
+    place = "array<struct<place:bigint,band:int,parts:int>>"
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(n)
         for b in batches:
             sets = [grams(t) for t in b["text"].to_pylist()]
             right = np.array([_class_key(s) == k for s, k in zip(sets, b["key"].to_pylist(), strict=True)], bool)
-            out = [b["comp"], b["parts"], b["side"], b["node"], pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, ["comp", "parts", "side", "node", "grams"]).filter(pa.array(right))
+            out = [b["places"], b["node"], b["bands"], pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, ["places", "node", "bands", "grams"]).filter(pa.array(right))
 
-    filled = kept.select("comp", "parts", "side", "node", "key", "text").mapInArrow(fill, "comp long, parts int, side int, node long, grams binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = filled.withColumn("other", other).select("comp", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "grams")
-    dealt = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node")
+    filled = kept.select("places", "node", "bands", "key", "text").mapInArrow(fill, f"places {place}, node long, bands array<long>, grams binary")
+    each = filled.select("node", "bands", "grams", F.explode("places").alias("p")).select("p.*", "node", "bands", "grams")
+    sided = each.withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = sided.select("place", "band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "bands", "grams")
+    order = ["place", "band", "i", "j"]
+    dealt = dealt.repartition(*order).sortWithinPartitions(*order, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), rows in _blocks(batches):
-            once = {node: (side, grams) for side, node, grams in rows}  # repeated rows of a document meet here
+        for (_, band, i, j), rows in _blocks(batches):
+            once = {node: (side, bands, grams) for side, node, bands, grams in rows}  # repeated rows of a document meet here
             nodes = np.array(list(once), np.int64)
-            sets = [np.frombuffer(g, np.uint64) for _, g in once.values()]
-            links, root = compare(nodes, np.array([s for s, _ in once.values()]), sets, threshold, i != j)
+            sets = [np.frombuffer(g, np.uint64) for *_, g in once.values()]
+            earlier = np.array([x[:band] for _, x, _ in once.values()], np.int64) if band > 0 else None
+            links, root = compare(nodes, np.array([s for s, *_ in once.values()]), sets, threshold, i != j, earlier)
             some = links > 0
             if some.any():
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(links[some]), pa.array(root[some])], ["node", "links", "root"])
@@ -212,7 +253,8 @@ def near_classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     n-gram sets at or over the threshold; set_id, the smallest doc_id with the very same n-gram set, and
     n_copies, how many documents have it. Null text counts as empty; texts without words form one set that
     links to nothing. Null doc_ids take part, but name a class only if it has no other. Repeated rows
-    count as copies. An empty table gives no rows; other columns are ignored.
+    count as copies. A text of any length is one n-gram set, held by one task. An empty table gives no rows;
+    other columns, whatever their names, are ignored.
     """
     signed, named = _classes(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), n, threshold, recall)
     ids = named.groupBy("root").agg(F.min("rep_id").alias("class_id"))
@@ -223,7 +265,8 @@ def near_classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each class, all columns: that of the smallest doc_id, nulls last, and of its texts the one with the smallest set key.
 
-    Of repeated rows, doc_id and text alike, one stays.
+    Of repeated rows, doc_id and text alike, one stays. Texts without words, null ones too, are one class. An
+    empty table gives no rows. Columns of any names but those that begin with __ are passed on.
     """
     own = F.col(id_col).cast("string")
     mark = F.sha2(F.concat(F.when(own.isNull(), "").otherwise(F.concat(F.char_length(own), F.lit(":"), own)), F.lit("|"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256)
