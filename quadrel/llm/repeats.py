@@ -85,6 +85,13 @@ def _slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
+def _groups(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """From and to of each run of equal values; none of an empty array."""
+    if len(x):
+        cut = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+        yield from zip(cut.tolist(), [*cut[1:].tolist(), len(x)], strict=True)
+
+
 def _runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Maximal runs of strings with one minimizer: data, document, first string, last string + 1, minimizer, document starts."""
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -145,15 +152,13 @@ def _shared_names(docs: DataFrame, buckets: int) -> DataFrame:
                 part = (code[send].view(np.uint64) >> np.uint64(8)) % np.uint64(buckets)
                 at = np.argsort(part, kind="stable")
                 o, c, p = own[send][at], code[send][at], part[at]
-                cut = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.zeros(0, int)
-                for x, y in zip(cut, np.r_[cut[1:], len(p)], strict=True):
+                for x, y in _groups(p):
                     by = np.argsort(o[x:y], kind="stable")
                     rows.append((int(p[x]), None, o[x:y][by].tobytes(), c[x:y][by].tobytes()))
                 o, c = own[many], code[many]
                 at = np.argsort(o, kind="stable")
                 o, c = o[at], c[at]
-                cut = np.flatnonzero(np.r_[True, o[1:] != o[:-1]]) if len(o) else np.zeros(0, int)
-                for x, y in zip(cut, np.r_[cut[1:], len(o)], strict=True):
+                for x, y in _groups(o):
                     rows.append((int(o[x]) % buckets, int(o[x]), None, c[x:y].tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names)
@@ -176,9 +181,8 @@ def _shared_names(docs: DataFrame, buckets: int) -> DataFrame:
             told.clear()
             order = np.argsort(own, kind="stable")
             own, code = own[order], code[order]
-            cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, int)
-            ends = np.r_[cut[1:], len(own)]
-            return pa.RecordBatch.from_arrays([pa.array(own[cut]), pa.array([code[x:y].tobytes() for x, y in zip(cut, ends, strict=True)], pa.binary())], ["owner", "codes"])
+            each = list(_groups(own))
+            return pa.RecordBatch.from_arrays([pa.array([own[x] for x, _ in each], pa.int64()), pa.array([code[x:y].tobytes() for x, y in each], pa.binary())], ["owner", "codes"])
 
         at, owners, codes, held = None, [], [], 0
         for b in batches:
