@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrel.llm.base import ascii_lower, written
+from quadrel.llm.base import ascii_lower, splittable, written
 
 # Fixed values: (verdict, host, path prefix).
 RULES = [
@@ -64,7 +64,7 @@ def propagate(seeds: DataFrame, links: DataFrame, follow: float = FOLLOW, tolera
     rank, before, linked = start, 0.0, flows.take(1)
     while linked:
         for _ in range(CUT_EACH):
-            moved = rank.join(flows, ["kind", "host"]).select("kind", F.col("target").alias("host"), (follow * F.col("rank") * F.col("share")).alias("rank"))
+            moved = splittable(rank, "kind", "host").join(flows, ["kind", "host"]).select("kind", F.col("target").alias("host"), (follow * F.col("rank") * F.col("share")).alias("rank"))
             rank = start.unionByName(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         rank = written(rank, "rank")
         total = rank.agg(F.sum("rank")).first()[0] or 0.0
