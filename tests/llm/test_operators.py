@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -172,6 +173,37 @@ def test_encoders_are_those_of_the_library():
         assert np.frombuffer(quick.ids(t), "<u4").tolist() == byte.encode(t, add_special_tokens=False).ids
 
 
+def many(code, texts, end=0):
+    return [ids for part in code.many(pa.array(texts, pa.string()), end) for ids in part.to_pylist()]
+
+
+def test_texts_encoded_at_once_have_the_ids_of_the_library(monkeypatch):
+    import random
+
+    draw = random.Random(4)
+    kinds = [ODD_CHARS, ODD_CHARS + "\x00\x0b\x0c\x7f\xa0×÷–\u2028\u200b", "abcdeéÀß  \n\n\t\r01!?.,;", "ab ", "".join(map(chr, range(0x180)))]
+    texts = ["".join(draw.choices(draw.choice(kinds), k=draw.randint(0, draw.choice((3, 40, 400))))) for _ in range(1500)]
+    texts += [None, "", "x" * 47, " " + "x" * 47, "x" * 48, " " + "x" * 48, "é" * 30, "=" * 3000, " " * 70, "a<|endoftext|>b", "<|endoftext|>", "it's", " it's 'll", "a \n b\n", "  \n\n  "]
+    for path, size in ((BYTE, 1), (BYTE, 500), (BYTE, 1 << 20), (WORD, 500)):
+        monkeypatch.setattr(tokens, "AT_ONCE", size)
+        expected = [[*e.ids, 7] for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert many(tokens.Encoder(path), texts, 7) == expected
+    code = tokens.Encoder(BYTE)
+    sliced = pa.array(["cut off", *texts], pa.large_string()).slice(1)
+    assert [ids for part in code.many(sliced, 0) for ids in part.to_pylist()] == many(code, texts) and many(code, []) == []
+
+
+def test_new_words_are_merged_side_by_side():
+    """Words that no text had before don't go to the library one by one, which took most of operator 5's time."""
+    code, asked = tokens.Encoder(BYTE), []
+    texts = [f"{prose(k, 300).title()}, é{k}.\n{prose(k + 100, 50)}!" for k in range(20)]
+    for name in ("_word", "_whole"):
+        setattr(code, name, lambda x, f=getattr(code, name): (asked.append(x), f(x))[1])
+    code.bare, code.spaced = (tokens._Words(code._word, lead) for lead in ("", " "))
+    assert many(code, texts) == [plain_ids(t).tolist() for t in texts] and not asked
+    assert many(code, ["it's 語"]) == [plain_ids("it's 語").tolist()] and asked
+
+
 def test_bpe(spark, odd, none, sf_dir):
     t = Tokenizer.from_file(WORD)
     for docs, plain in both(spark, odd, sf_dir):
